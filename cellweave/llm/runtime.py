@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_PER_BATCH = 256
 
 
+_shipped: set[str] = set()
+
+
 def tune(spark: SparkSession) -> None:
-    """Short Arrow batches: a worker then never holds more than a few hundred texts."""
+    """Short Arrow batches: a worker then never holds more than a few hundred texts.
+
+    Also sends this package's source to the executors, once in each application.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = Path(__file__).resolve().parent.parent
+        target = Path(tempfile.mkdtemp(prefix="spark-ship-"), f"{root.name}.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for p in root.rglob("*.py"):
+                z.write(p, str(p.relative_to(root.parent)))
+        sc.addPyFile(str(target))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
