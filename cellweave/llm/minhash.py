@@ -9,10 +9,14 @@ reach the threshold are compared on their full sets.
 
 Groups of copies are never expanded into pairs:
 * equal sets are one representative,
-* first every member of a band's bucket is compared with one centre of that bucket,
+* first every member of a band's bucket is compared with one centre of that bucket: the member
+  that meets most others in all its buckets, which is the text that the others were made from
+  if there is one,
 * then only members of a bucket that the verified links have not joined yet are compared with
-  each other. This last step leaves no pair of a bucket undecided: two of its members are
-  compared or known to be in one group.
+  each other, in pairs of blocks of bounded size. Such a task first compares sketches and keeps
+  members that have a likely partner; a second one compares full sets and gives a spanning forest
+  of the links that it finds. So no pair of a bucket stays undecided, and what leaves a task grows
+  with the members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .kernels import BLANK, SLICE, Words, encoded, mix, shingles, slices
+from .kernels import BLANK, SLICE, Words, encoded, mix, ragged, shingles, slices
 from .runtime import materialize, table, tune
 
 #: Bands and registers in a band: a pair of similarity 0.8 meets in a band with probability 0.99995.
@@ -34,9 +39,11 @@ REGISTERS = 128
 #: Base, rate and number of values of the registers (two bytes each).
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Log-likelihood by which a similarity at the threshold may fall behind the best estimate.
-SLACK = 12.5
-#: Equal registers that a pair needs to be compared at all; at similarity 0.8 fewer come with probability 1e-6.
-LEAST_EQUAL = 79
+SLACK = 8.0
+#: Equal registers that a pair needs to be compared at all; at similarity 0.8 fewer come with probability 4e-5.
+LEAST_EQUAL = 84
+#: Members of a bucket in one block.
+BLOCK = 2048
 #: Distinct ids up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 100_000
 
@@ -137,10 +144,8 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full shingle sets reach the threshold."""
-    pairs = materialize(pairs.distinct(), "near-candidates")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _item_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, items): the full shingle sets of the documents with these distinct ids."""
     ids = materialize(ids, "near-candidate-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -150,6 +155,79 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             values = [s.view(np.int64) for s in _sets(encoded(batch.column(1)), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "items"])
 
+    return materialize(texts.mapInArrow(sets, "id long, items array<long>"), "near-sets")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets, dealt to the pairs (x, y) of their bucket's blocks; many small buckets share a bin."""
+    spark = members.sparkSession
+    sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // (2 * BLOCK))
+    return dealt.withColumn("bin", F.pmod(F.xxhash64("band", "key", "x", "y"), F.lit(bins))).drop("blocks", "other")
+
+
+def _each_block(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """The rows of each pair of blocks, their components, and the side of each row (equal sides within one block)."""
+    for (_, _, x, y), rows in pdf.groupby(["band", "key", "x", "y"], sort=False):
+        component = rows["component"].to_numpy()
+        if len(rows) > 1 and (component != component[0]).any():
+            yield rows, component, np.zeros(len(rows), bool) if x == y else (rows["block"] == y).to_numpy()
+
+
+def _with_likely_partner(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Members with enough registers in common with a member of another component."""
+    out = [pdf[["band", "key", "id"]].iloc[:0]]
+    for rows, component, side in _each_block(pdf):
+        r = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, REGISTERS)
+        n = rows["n"].to_numpy()
+        likely = np.zeros(len(rows), bool)
+        for i in range(len(rows)):
+            at = np.flatnonzero((component != component[i]) & ((side != side[i]) | ~side.any()) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            if len(at):
+                at = at[(r[at] == r[i]).sum(1) >= LEAST_EQUAL]
+                likely[at] = True
+        out.append(rows.loc[likely, ["band", "key", "id"]])
+    return pd.concat(out).astype({"band": "int32"})
+
+
+def _forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A spanning forest of the verified links between members of different components."""
+    a, b = [], []
+    for rows, component, side in _each_block(pdf):
+        ids = rows["id"].to_numpy()
+        n = rows["items"].map(len).to_numpy()
+        doc = np.repeat(np.arange(len(rows)), n)
+        _, item = np.unique(np.concatenate(list(rows["items"])), return_inverse=True)
+        holders = doc[np.argsort(item, kind="stable")]
+        first = np.append(0, np.cumsum(np.bincount(item)))
+        begins = np.append(0, np.cumsum(n))
+        group = {c: c for c in component.tolist()}
+
+        def top(c: int) -> int:
+            while group[c] != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        for i in range(len(rows)):
+            both = np.bincount(ragged(holders, first, item[begins[i] : begins[i + 1]])[0], minlength=len(rows))
+            near = (100 * both >= percent * (n + n[i] - both)) & (component != component[i]) & ((side != side[i]) | ~side.any())
+            for j in np.flatnonzero(near).tolist():
+                p, q = top(component[i]), top(component[j])
+                if p != q:
+                    group[p] = q
+                    a.append(ids[i])
+                    b.append(ids[j])
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full shingle sets reach the threshold."""
+    pairs = materialize(pairs.distinct(), "near-candidates")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    items = _item_sets(ids, docs, k)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -161,8 +239,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    # repeated rows of an id with one text have one set; a repeated id with other texts is another representative's
-    items = materialize(texts.mapInArrow(sets, "id long, items array<long>"), "near-sets")
     both = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
@@ -187,13 +263,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = materialize(reps.select("id", "n", "bands", "sketch"), "near-reps")
     texts = rows
 
-    def bucketed(df: DataFrame) -> DataFrame:
-        return df.select("id", "n", "sketch", F.posexplode("bands").alias("band", "key"))
-
-    sizes = bucketed(reps.select("id", "n", "bands", F.lit(None).alias("sketch"))).groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("id"), "id")).alias("centre"), F.count("*").alias("size"))
-    buckets = materialize(sizes.where("size > 1").select("band", "key", F.col("centre.id").alias("centre")), "near-buckets")
-    members = bucketed(reps.select("id", "n", "bands", F.lit(None).alias("sketch"))).select("id", "band", "key").join(buckets, ["band", "key"])
-    members = materialize(members, "near-members")
+    bare = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    sizes = bare.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(bare.join(sizes, ["band", "key"]), "near-members")
+    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    centres = members.join(degree, "id").groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"))).alias("centre")).select("band", "key", (-F.col("centre.low")).alias("centre"))
+    members = materialize(members.select("id", "band", "key").join(centres, ["band", "key"]), "near-members")
     sketch = reps.select("id", "n", "sketch")
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
@@ -209,12 +284,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     apart = members.join(groups, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
     mixed = apart.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
     rest = materialize(apart.join(mixed.select("band", "key"), ["band", "key"]).join(sketch, "id"), "near-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    equal = "size(filter(sequence(0, {0}), i -> substring(x.sketch, i * 2 + 1, 2) = substring(y.sketch, i * 2 + 1, 2))) >= {1}".format(REGISTERS - 1, LEAST_EQUAL)
-    close = F.expr(f"x.band = y.band and x.key = y.key and x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {equal}")
-    pairs = x.join(y, close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    tried = star.select("a", "b")
-    more = _verified(_likely(with_sketches(pairs.join(tried, ["a", "b"], "left_anti")), percent), texts, shingle, percent)
+    paired = _blocks(rest).groupBy("bin").applyInPandas(lambda pdf: _with_likely_partner(pdf, percent), "band int, key long, id long")
+    paired = materialize(paired.distinct(), "near-paired")
+    items = _item_sets(paired.select("id").distinct(), texts, shingle)
+    rest = paired.join(rest.select("band", "key", "id", "component"), ["band", "key", "id"]).join(items, "id")
+    more = _blocks(rest).groupBy("bin").applyInPandas(lambda pdf: _forest(pdf, percent), "a long, b long")
 
     found = connected_components(links.unionByName(more).unionByName(same), name="near-components")
     return sketched.select("id", "n").join(found, "id", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept"))
