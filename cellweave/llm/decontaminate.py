@@ -25,7 +25,7 @@ from .kernels import PUNCT, Words, encoded, shingles, slices
 from .runtime import materialize, table, tune
 
 #: Bits of the seeds' map: at least this many for each seed, and at most 2 ** MOST_BITS (32 MB) in all.
-BITS_PER_SEED, MOST_BITS = 32, 28
+BITS_PER_SEED, MOST_BITS = 1024, 28
 
 
 def _words(texts: list[bytes]) -> Words:
