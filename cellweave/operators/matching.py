@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import blank, last_segment, normalize_entity_id
 
@@ -96,6 +97,16 @@ def build_cluster_kb(rows: DataFrame, gt: DataFrame, prefix: str = "cluster:") -
     return named.select(F.concat(F.lit(prefix), F.col("label")).alias("id"), F.col("title").alias("name"), "title", F.col("title").alias("text"), F.lit("product").alias("type"), F.lit("").alias("path"))
 
 
+def cluster_labels(df: DataFrame, key: str) -> DataFrame:
+    """df with `label`: the place of key, from 0, among its distinct values in order.
+
+    The distinct values are sorted in ranges, and each range is numbered from the sizes of those before it.
+    """
+    values = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
+    schema = T.StructType([values.schema[key], T.StructField("label", T.LongType())])
+    return df.join(df.sparkSession.createDataFrame(values.rdd.zipWithIndex().map(lambda row: (row[0][0], row[1])), schema), key)
+
+
 def row_neighbours(cells: DataFrame, keys: Sequence[str], pos: str = "col", text: str = "text") -> DataFrame:
     """Each cell with the texts of the other cells of its row (keys = table, row) or column, in order."""
     whole = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, text))).alias("_all"))

@@ -6,7 +6,7 @@ Long tables throughout: kb(id, name, pos, ...), queries(qid, text or vector), ca
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -84,6 +84,22 @@ def knn_topk(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector",
     return rank_candidates(parts, k=k).select("qid", "rank", "id", "score")
 
 
+def knn_by_scale(queries: DataFrame, kb: DataFrame, subsets: DataFrame, scales: Sequence[int], k: int) -> DataFrame:
+    """(scale, qid, rank, id, score): the exact search in each subset(scale, id) of kb (R14). Cutting one deep search would lose rows."""
+    out = None
+    for scale in scales:
+        found = knn_topk(queries, kb.join(subsets.where(F.col("scale") == scale), "id", "left_semi"), k).select(F.lit(scale).alias("scale"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def dump_topk(cands: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, top1_id, top1_score, top5_ids): one row per query; the array has the k best ids in order."""
+    best = F.array_sort(F.collect_list(F.struct("rank", "id", "score")))
+    rows = cands.where(F.col("rank") <= k).groupBy("qid").agg(best.alias("_b"))
+    return rows.select("qid", F.col("_b")[0]["id"].alias("top1_id"), F.col("_b")[0]["score"].alias("top1_score"), F.transform("_b", lambda b: b["id"]).alias(f"top{k}_ids"))
+
+
 def knn_topk_lsh(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector", tables: int = 32, bits: int = 5, seed: int = 7) -> DataFrame:
     """Approximate cosine top-k (R3): candidates share a random-hyperplane bucket in one of the tables; scores are exact."""
     from ..functions.vectors import cosine

@@ -12,6 +12,11 @@ def hash_order(seed: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys)))
 
 
+def hash_bucket(seed: int, key: Column | str, n: Column | int) -> Column:
+    """A number from 0 to n - 1 by a hash of seed and key."""
+    return F.conv(F.substring(hash_order(seed, key), 1, 8), 16, 10).cast("long") % (F.lit(n) if isinstance(n, int) else n)
+
+
 def subsample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The n first rows in hash order, sorted by key."""
     return df.orderBy(hash_order(seed, key), key).limit(n).orderBy(key)
@@ -60,11 +65,15 @@ def hard_negatives(positives: DataFrame, neighbours: DataFrame, kb: DataFrame, n
     return hard.unionByName(fill)
 
 
-def random_negatives(positives: DataFrame, kb: DataFrame, n: int, seed: int, buckets: int) -> DataFrame:
-    """(pid, id, no): n negatives of each positive(pid, id), from the kb entities of one hash bucket each."""
-    bucket = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(buckets))
-    k = kb.select("id", bucket("id").alias("_b"))
-    p = positives.select("pid", F.col("id").alias("_own"), bucket("pid").alias("_b"))
+def random_negatives(positives: DataFrame, kb: DataFrame, n: int, seed: int, bucket_size: int = 64) -> DataFrame:
+    """(pid, id, no): n negatives of each positive(pid, id), from the kb entities of one hash bucket each.
+
+    There are as many buckets as give about bucket_size entities each, so the join grows with the
+    positives; bucket_size must be well above n.
+    """
+    buckets = max(1, kb.count() // bucket_size)
+    k = kb.select("id", hash_bucket(seed, "id", buckets).alias("_b"))
+    p = positives.select("pid", F.col("id").alias("_own"), hash_bucket(seed, "pid", buckets).alias("_b"))
     pairs = p.join(k, "_b").where(F.col("id") != F.col("_own"))
     w = Window.partitionBy("pid").orderBy(hash_order(seed, "pid", "id"), "id")
     return pairs.withColumn("no", F.row_number().over(w)).where(F.col("no") <= n).select("pid", "id", "no")
@@ -74,7 +83,7 @@ def cluster_positive(pairs: DataFrame, cluster: str, key: str, seed: int) -> Dat
     """(key, positive): a member of the same cluster by hash, perhaps the row itself."""
     w = Window.partitionBy(cluster).orderBy(key)
     placed = pairs.select(key, cluster, (F.row_number().over(w) - 1).alias("_i"), F.count("*").over(Window.partitionBy(cluster)).alias("_n"))
-    pick = placed.select(key, cluster, F.pmod(F.xxhash64(key, F.lit(seed)), "_n").alias("_i"))
+    pick = placed.select(key, cluster, hash_bucket(seed, key, F.col("_n")).alias("_i"))
     return pick.join(placed.select(cluster, "_i", F.col(key).alias("positive")), [cluster, "_i"]).select(key, "positive")
 
 

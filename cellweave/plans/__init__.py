@@ -1 +1,3 @@
 """Compositions and the registered queries."""
+
+from . import analysis_queries, queries  # noqa: F401
