@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -133,36 +134,74 @@ def readable_title(x: Column | str) -> Column:
     return F.replace(_c(x), F.lit("_"), F.lit(" "))
 
 
-def expand_property(name: Column | str) -> Column:
-    """array of struct(id, name, path) for the plain, DBpedia and Schema.org forms of a property (P16); explode it."""
-    n = _c(name)
-    form = lambda prefix, path: F.struct(F.concat(F.lit(prefix), n).alias("id"), n.alias("name"), F.concat(F.lit(path), n).alias("path"))
-    return F.array(form("", "Property > "), form("http://dbpedia.org/ontology/", "DBpedia > "), form("http://schema.org/", "Schema.org > "))
+#: The forms of a property's id and path.
+PROPERTY_FORMS = {"": "Standard > ", "http://dbpedia.org/ontology/": "DBpedia > ", "http://schema.org/": "Schema.org > "}
 
 
-def prompt_select(cell: Column | str, names: Column | str, question: str = "Which candidate is the entity of the cell? Answer with its number in brackets, [0] if none is.") -> Column:
-    """A numbered list of candidates for a cell."""
-    lines = F.transform(_c(names), lambda n, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), n))
-    return F.concat_ws("\n", F.concat(F.lit("Cell: "), _c(cell)), F.lit("Candidates:"), F.array_join(lines, "\n"), F.lit(question))
+def expand_property(name: Column | str) -> Column:
+    """array of struct(id, name, type, path) for the plain, DBpedia and Schema.org forms of a property (P16); explode it."""
+    n = _c(name)
+    return F.array(*(F.struct(F.concat(F.lit(i), n).alias("id"), n.alias("name"), F.lit("OntologyProperty").alias("type"), F.concat(F.lit(p), n).alias("path")) for i, p in PROPERTY_FORMS.items()))
+
+
+#: The wording of the prompts. Braces name what is filled in.
+SELECT_PROMPTS = {
+    "bracket": (
+        "Select a record from the following candidates that refers to the same real-world entity as the given record. "
+        'Answer with the corresponding record number surrounded by "[]" or "[0]" if there is none.\n\n'
+        "Given entity record: {cell}\n\nCandidate records:\n{candidates}"
+    ),
+    "bare": "Query product: {cell}\n\nCandidates:\n{candidates}\n\nWhich candidate matches?",
+    "digits": (
+        "You are an entity matching expert. Given a product mention from a web table, select the most likely matching entity from the candidate list.\n\n"
+        'Product mention: "{cell}"\nRow context: "{context}"\n\nCandidate entities:\n{candidates}\n\n'
+        "Instructions:\n- Output ONLY the number (1-{n}) of the best matching entity.\n- If none match, output 0.\n- Do not explain, just output the number."
+    ),
+}
+#: The system message that goes with the style `bare`.
+BARE_SYSTEM = (
+    "You are a product matching assistant. Given a query product and a numbered list of candidate product names, decide which single candidate refers to the SAME product as the query. "
+    "Respond with ONLY a single number: 1..K for the matching candidate, or 0 if none match. Do not add any other text."
+)
+#: The wording of the pair prompt.
+PAIR_PROMPT = "Do the two product descriptions refer to the same real-world product? Entity 1: '{left}'. Entity 2: '{right}'."
+#: How each style writes a candidate of number i.
+_LISTED = {
+    "bracket": lambda i, c: F.concat(F.lit("["), i, F.lit("] "), c["name"]),
+    "bare": lambda i, c: F.concat(i, F.lit(". "), c["name"]),
+    "digits": lambda i, c: F.concat(i, F.lit(". "), c["name"], F.lit(" (ID: "), c["id"], F.lit(")")),
+}
+
+
+def _fill(wording: str, **values: Column) -> Column:
+    """The wording with columns in place of its names in braces; nulls are empty."""
+    parts = re.split(r"\{(\w+)\}", wording)
+    return F.concat(*(F.coalesce(values[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+
+def prompt_select(cell: Column | str, candidates: Column | str, style: str = "bracket", context: Column | str | None = None) -> Column:
+    """The prompt that asks which of candidates, an array of struct(id, name), a cell names.
+
+    parse_reply reads the answer in the same style. The style `bare` is a user message for BARE_SYSTEM.
+    """
+    c = _c(candidates)
+    lines = F.array_join(F.transform(c, lambda x, i: _LISTED[style]((i + 1).cast("string"), x)), "\n")
+    return _fill(SELECT_PROMPTS[style], cell=_c(cell), candidates=lines, context=F.lit("") if context is None else _c(context), n=F.size(c))
 
 
 def prompt_pair(left: Column | str, right: Column | str) -> Column:
-    return F.concat(F.lit("Do these two texts name the same entity? Answer Yes or No.\nA: "), _c(left), F.lit("\nB: "), _c(right))
+    """The prompt that asks whether two texts name one product, without bracket markup."""
+    return _fill(PAIR_PROMPT, left=strip_colval(left), right=strip_colval(right))
 
 
 #: How a reply names its choice: a number in brackets, a number by itself, the first run of digits.
-REPLY_STYLES = {"bracket": r"\[(\d+)\]", "bare": r"(?<![\w.])(\d+)(?![\w.])|\[(\d+)\]", "digits": r"(\d+)"}
+REPLY_STYLES = {"bracket": r"\[(\d+)\]", "bare": r"(?<!\d)(\d+)(?!\d)", "digits": r"(\d+)"}
 
 
 def parse_reply(x: Column | str, k: int, style: str = "bracket") -> Column:
     """The choice from 1 to k that a reply names; null if it abstains, fails or names none."""
     x = F.coalesce(_c(x), F.lit(""))
-    if style == "bare":
-        x = F.regexp_replace(x, r"[\[\]]", " ")
-        found = F.regexp_extract(x, r"(?<!\w)(\d+)(?!\w)", 1)
-    else:
-        found = F.regexp_extract(x, REPLY_STYLES[style], 1)
-    n = found.try_cast("int")
+    n = F.regexp_extract(x, REPLY_STYLES[style], 1).try_cast("int")
     return F.when(~x.startswith("ERROR") & n.between(1, k), n)
 
 
@@ -172,6 +211,7 @@ def sft_row(left: Column | str, right: Column | str, label: Column | str) -> Col
 
 
 def with_prefix(x: Column | str, prefix: str) -> Column:
+    """A text as a query or passage of an encoder that wants one named (P20)."""
     return F.concat(F.lit(prefix), _c(x))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import blank, last_segment, normalize_entity_id
+from ..functions.text import blank, expand_property, last_segment, normalize_entity_id, strip
 
 
 def first_by(df: DataFrame, key: str, value: str, pos: str) -> DataFrame:
@@ -97,6 +97,47 @@ def build_cluster_kb(rows: DataFrame, gt: DataFrame, prefix: str = "cluster:") -
     return named.select(F.concat(F.lit(prefix), F.col("label")).alias("id"), F.col("title").alias("name"), "title", F.col("title").alias("text"), F.lit("product").alias("type"), F.lit("").alias("path"))
 
 
+def build_ontology_kb(properties: DataFrame, name: str, *entities: DataFrame) -> DataFrame:
+    """(id, name, type, path): the forms of each property named in a column, then entities (id, name, type, path) of
+    tables; of equal ids the last source wins, within a source the last by pos, which entities may hold (R12)."""
+    forms = properties.select(strip(F.col(name).cast("string")).alias("_name")).where(~blank("_name")).distinct().select(F.inline(expand_property("_name")))
+    sources = [s if "pos" in s.columns else s.withColumn("pos", F.lit(0).cast("long")) for s in (forms, *entities)]
+    return union_kb(*sources, keep="last").select("id", "name", "type", "path")
+
+
+def usable_gates(dump: DataFrame, layers: Sequence[str], alpha: str = "alpha_per_layer") -> DataFrame:
+    """Rows of a gate dump that aren't headers and hold a pair of weights for every layer (F4). A null is_header is none."""
+    pairs = [F.coalesce(F.size(F.try_element_at(alpha, F.lit(k))) == 2, F.lit(False)) for k in layers]
+    out = dump.where(~F.coalesce("is_header", F.lit(False)))
+    for p in pairs:
+        out = out.where(p)
+    return out
+
+
+def in_bounds(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """cells(table_id, row, col, ..) that lie in their table, of tables(table_id, n_rows, n_cols) with one row each."""
+    inside = "c.table_id = t.table_id and c.row >= 0 and c.col >= 0 and c.row < t.n_rows and c.col < t.n_cols"
+    return cells.alias("c").join(tables.alias("t"), F.expr(inside), "left_semi")
+
+
+#: The kinds of groups that a cell belongs to, and the column that numbers each.
+RELATIONS = {"row": "row", "column": "col"}
+
+
+def relations(cells: DataFrame) -> DataFrame:
+    """cells once for each kind of group: rel (`row` or `column`) and the group's number `edge`."""
+    return cells.withColumn("_r", F.explode(F.array(*(F.struct(F.lit(k).alias("rel"), F.col(c).cast("long").alias("edge")) for k, c in RELATIONS.items())))).select(*cells.columns, "_r.rel", "_r.edge")
+
+
+def keep_relation(members: DataFrame, rel: str | None = None, headers: bool = True) -> DataFrame:
+    """Memberships of one relation, or of both; with or without header cells, whose row is -1."""
+    if rel is not None:
+        if rel not in RELATIONS:
+            raise ValueError(f"rel must be one of {sorted(RELATIONS)}")
+        members = members.where(F.col("rel") == rel)
+    return members if headers else members.where("row <> -1")
+
+
 def cluster_labels(df: DataFrame, key: str) -> DataFrame:
     """df with `label`: the place of key, from 0, among its distinct values in order.
 

@@ -183,3 +183,71 @@ SELECT event_type, x, round(sum(c * exp(-z * z / 2) * (0.3989422804014327 / 2.0)
 def value_density(spark, d):
     """A19 on the values of events."""
     return E.density(_t(spark, d, "events"), "value", "event_type", 64, 0.0, 100.0, 2.0)
+
+
+@_query("""WITH p AS (SELECT DISTINCT trim(p_type) AS n FROM part WHERE trim(p_type) <> ''),
+o AS (SELECT n AS id, n AS name, 'OntologyProperty' AS type, 'Standard > ' || n AS path FROM p
+  UNION ALL SELECT 'http://dbpedia.org/ontology/' || n, n, 'OntologyProperty', 'DBpedia > ' || n FROM p
+  UNION ALL SELECT 'http://schema.org/' || n, n, 'OntologyProperty', 'Schema.org > ' || n FROM p),
+e AS (SELECT id, arg_max(name, pos) AS name FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_brand END AS id, p_name AS name, p_partkey AS pos FROM part) GROUP BY id)
+SELECT id, name, 'Entity' AS type, 'Custom > ' || name AS path FROM e UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM e)""")
+def ontology_kb(spark, d):
+    """Part types as properties, overwritten by entities named by brand, or by type for some."""
+    p = _t(spark, d, "part")
+    named = p.select(F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("pos"))
+    entities = named.select("id", "name", F.lit("Entity").alias("type"), F.concat(F.lit("Custom > "), "name").alias("path"), "pos")
+    return M.build_ontology_kb(p, "p_type", entities)
+
+
+@_query("""WITH k AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS i FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)),
+c AS (SELECT l_orderkey, max(i) AS n, string_agg('[' || i || '] part ' || l_partkey, chr(10) ORDER BY i) AS a, string_agg(i || '. part ' || l_partkey, chr(10) ORDER BY i) AS b,
+  string_agg(i || '. part ' || l_partkey || ' (ID: ' || l_partkey || ')', chr(10) ORDER BY i) AS c FROM k GROUP BY l_orderkey),
+l AS (SELECT o_orderkey, cast(o_orderkey AS varchar) AS cell, o_orderpriority AS ctx, n, a, b, c FROM orders JOIN c ON l_orderkey = o_orderkey)
+SELECT o_orderkey, 'Select a record from the following candidates that refers to the same real-world entity as the given record. Answer with the corresponding record number surrounded by "[]" or "[0]" if there is none.' || chr(10) || chr(10) || 'Given entity record: ' || cell || chr(10) || chr(10) || 'Candidate records:' || chr(10) || a AS bracket,
+  'Query product: ' || cell || chr(10) || chr(10) || 'Candidates:' || chr(10) || b || chr(10) || chr(10) || 'Which candidate matches?' AS bare,
+  'You are an entity matching expert. Given a product mention from a web table, select the most likely matching entity from the candidate list.' || chr(10) || chr(10) || 'Product mention: "' || cell || '"' || chr(10) || 'Row context: "' || ctx || '"' || chr(10) || chr(10) || 'Candidate entities:' || chr(10) || c || chr(10) || chr(10)
+  || 'Instructions:' || chr(10) || '- Output ONLY the number (1-' || n || ') of the best matching entity.' || chr(10) || '- If none match, output 0.' || chr(10) || '- Do not explain, just output the number.' AS digits FROM l""")
+def selection_prompts(spark, d):
+    """Each order as a cell with its parts as candidates, in three styles."""
+    c = F.array_sort(F.collect_set("l_partkey"))
+    named = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(c, lambda k: F.struct(k.cast("string").alias("id"), F.concat(F.lit("part "), k.cast("string")).alias("name"))).alias("c"))
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(named, "o_orderkey").withColumn("cell", F.col("o_orderkey").cast("string"))
+    return rows.select("o_orderkey", *(X.prompt_select("cell", "c", s, "o_orderpriority").alias(s) for s in X.SELECT_PROMPTS))
+
+
+@_query("""SELECT p_partkey, 'Do the two product descriptions refer to the same real-world product? Entity 1: ''title: ' || p_name || ' | brand: ' || p_brand || chr(39) || '. Entity 2: ' || chr(39) || trim(p_type) || chr(39) || '.' AS prompt,
+  CASE WHEN p_size % 2 = 1 THEN 'Yes' ELSE 'No' END AS answer, 'query: ' || p_name AS query, 'passage: ' || p_type AS passage FROM part""")
+def instruction_rows(spark, d):
+    """Pairs of a serialised part and its type as instruction rows, and both with a prefix."""
+    row = X.sft_row(X.ser_bracket("p_name", "p_brand"), F.col("p_type"), F.col("p_size") % 2)
+    return _t(spark, d, "part").select("p_partkey", row["prompt"].alias("prompt"), row["answer"].alias("answer"), X.with_prefix("p_name", "query: ").alias("query"), X.with_prefix("p_type", "passage: ").alias("passage"))
+
+
+@_query("""SELECT l_linenumber, count(*) AS used, round(avg(cast(l_discount AS double)), 6) AS alpha_row FROM lineitem WHERE l_returnflag <> 'R' AND l_partkey % 4 <> 0 AND l_partkey % 5 <> 0 GROUP BY l_linenumber""")
+def gate_rows(spark, d):
+    """lines as a gate dump; returned ones are headers, some lack a layer and some half of a pair."""
+    own, other = F.col("l_discount").cast("double"), F.col("l_tax").cast("double")
+    second = F.when(F.col("l_partkey") % 5 == 0, F.array(own)).otherwise(F.array(own, other))
+    whole = F.create_map(F.lit("0"), F.array(own, other), F.lit("1"), second)
+    dump = _t(spark, d, "lineitem").select("l_linenumber", (F.col("l_returnflag") == "R").alias("is_header"), F.when(F.col("l_partkey") % 4 == 0, F.create_map(F.lit("0"), F.array(own, other))).otherwise(whole).alias("alpha_per_layer"))
+    return M.usable_gates(dump, ["0", "1"]).groupBy("l_linenumber").agg(F.count("*").alias("used"), F.round(F.avg(F.col("alpha_per_layer")["1"][0]), 6).alias("alpha_row"))
+
+
+@_query("""WITH t AS (SELECT o_orderkey, 1 + o_orderkey % 5 AS n FROM orders), c AS (SELECT l_orderkey AS t, l_linenumber - 2 AS r, l_partkey % 4 - 1 AS c FROM lineitem)
+SELECT t AS table_id, r AS row, c AS col FROM c JOIN t ON o_orderkey = t WHERE r >= 0 AND c >= 0 AND r < n AND c < 2""")
+def cells_in_bounds(spark, d):
+    """lines as cells of a table for each order, some beyond its edges."""
+    tables = _t(spark, d, "orders").select(F.col("o_orderkey").alias("table_id"), (1 + F.col("o_orderkey") % 5).alias("n_rows"), F.lit(2).alias("n_cols"))
+    cells = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 2).alias("row"), (F.col("l_partkey") % 4 - 1).alias("col"))
+    return M.in_bounds(cells, tables)
+
+
+@_query("""WITH c AS (SELECT l_orderkey AS t, cast(l_linenumber - 2 AS bigint) AS r, cast(l_partkey % 3 AS bigint) AS c FROM lineitem),
+m AS (SELECT t, r, 'row' AS rel, r AS edge FROM c UNION ALL SELECT t, r, 'column', c FROM c)
+SELECT k AS kept, t AS table_id, rel, edge, count(*) AS members FROM m, (SELECT unnest(['row', 'column', 'no headers']) AS k) WHERE rel = k OR (k = 'no headers' AND r <> -1) GROUP BY ALL""")
+def kept_relations(spark, d):
+    """Sizes of row and column groups under each of the three switches; the first line of an order is its header."""
+    cells = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 2).cast("long").alias("row"), (F.col("l_partkey") % 3).cast("long").alias("col"))
+    members = M.relations(cells)
+    sizes = lambda kept, m: m.groupBy(F.lit(kept).alias("kept"), "table_id", "rel", "edge").agg(F.count("*").alias("members"))
+    return sizes("row", M.keep_relation(members, "row")).unionByName(sizes("column", M.keep_relation(members, "column"))).unionByName(sizes("no headers", M.keep_relation(members, headers=False)))

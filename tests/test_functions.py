@@ -95,3 +95,30 @@ def test_quota(spark):
     near = spark.createDataFrame([(1000, r, r) for r in range(1, 6)], "id long, rank int, other long")
     got = S.hard_negatives(pos, near, spark.range(50), 10, 0.75, 1).collect()
     assert [r.kind for r in sorted(got, key=lambda r: r["rank"])] == ["hard"] * 2 + ["random"] * 8 and len({r.id for r in got}) == 10
+
+
+def test_prompts(spark):
+    named = F.array(F.struct(F.lit("7").alias("id"), F.lit("Foo").alias("name")), F.struct(F.lit("8").alias("id"), F.lit("Bar").alias("name")))
+    assert one(spark, X.prompt_select(F.lit("x"), named)).endswith('if there is none.\n\nGiven entity record: x\n\nCandidate records:\n[1] Foo\n[2] Bar')
+    assert one(spark, X.prompt_select(F.lit("x"), named, "bare")) == "Query product: x\n\nCandidates:\n1. Foo\n2. Bar\n\nWhich candidate matches?"
+    shown = one(spark, X.prompt_select(F.lit(None).cast("string"), named, "digits", F.lit("a: b")))
+    assert 'Product mention: ""\nRow context: "a: b"\n\nCandidate entities:\n1. Foo (ID: 7)\n2. Bar (ID: 8)\n\n' in shown and "(1-2)" in shown
+    assert one(spark, X.prompt_pair(F.lit("[COL] title [VAL] A [COL] brand [VAL] B"), F.lit(" C "))) == "Do the two product descriptions refer to the same real-world product? Entity 1: 'title: A | brand: B'. Entity 2: 'C'."
+    assert one(spark, X.with_prefix(F.lit("a"), "query: ")) == "query: a"
+
+
+def test_property_forms(spark):
+    assert [tuple(r) for r in one(spark, X.expand_property(F.lit("size")))] == [("size", "size", "OntologyProperty", "Standard > size"), ("http://dbpedia.org/ontology/size", "size", "OntologyProperty", "DBpedia > size"), ("http://schema.org/size", "size", "OntologyProperty", "Schema.org > size")]
+
+
+def test_structure_filters(spark):
+    dump = spark.createDataFrame([(1, None, {"0": [0.1, 0.9], "1": [0.2, 0.8]}), (2, True, {"0": [0.1, 0.9], "1": [0.2, 0.8]}), (3, False, {"0": [0.1, 0.9]}), (4, False, {"0": [0.1, 0.9], "1": [0.2]}), (5, False, None)], "id int, is_header boolean, alpha_per_layer map<string,array<double>>")
+    assert [r.id for r in M.usable_gates(dump, ["0", "1"]).collect()] == [1]
+    cells = spark.createDataFrame([("t", 0, 0), ("t", -1, 0), ("t", 2, 0), ("t", 1, 1), ("u", 0, 0), ("t", None, 0)], "table_id string, row int, col int")
+    assert sorted((r.row, r.col) for r in M.in_bounds(cells, spark.createDataFrame([("t", 2, 2)], "table_id string, n_rows int, n_cols int")).collect()) == [(0, 0), (1, 1)]
+    members = M.relations(cells.where("row is not null"))
+    assert members.count() == 10 and M.keep_relation(members, "row").count() == 5 and M.keep_relation(members, headers=False).count() == 8
+    with pytest.raises(ValueError):
+        M.keep_relation(members, "diagonal")
+    kb = M.build_ontology_kb(spark.createDataFrame([("a",), ("a",), (" ",), (None,)], "p string"), "p", spark.createDataFrame([("a", "Own", "Entity", "Custom > Own")], "id string, name string, type string, path string"))
+    assert sorted((r.id, r.name) for r in kb.collect()) == [("a", "Own"), ("http://dbpedia.org/ontology/a", "a"), ("http://schema.org/a", "a")]
