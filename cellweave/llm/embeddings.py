@@ -1,12 +1,13 @@
-"""Near-duplicate embeddings by sorted projection passes.
-
-Each pass sorts the vectors lexicographically by a key of concatenated random hashes (the
-signed largest coordinate after a random rotation) and compares every vector with its next
-neighbours in that order, a bounded window. The verified pairs of all passes are united to
-groups. Since a window is bounded, a group of more vectors than it holds would lose links between
-its members; so in each group every member is then compared with every other, in blocks that
-Spark deals out, and only counts leave a block. Equal vectors are one representative with a weight
-throughout.
+"""Near-duplicate embeddings by exact comparison of all pairs, in blocks.
+
+Different vectors are dealt by hash to blocks of bounded bytes, and every block meets every other
+and itself once, in a product that neither shuffles nor replicates more than the blocks' partitions.
+A pair of blocks is one matrix product in single precision; pairs whose cosine lies within its
+rounding error of the limit are computed again in double precision, so no link is missed or
+invented. What leaves a pair of blocks is, for each linked vector, the number of its links there
+and one edge of a spanning forest: never more rows than vectors, however dense the links. Equal
+vectors are one representative with a weight throughout. The work is the square of the number of
+different vectors.
 """
 
 from __future__ import annotations
@@ -17,23 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .runtime import materialize, table, tune
+from .runtime import ROWS_PER_BATCH, materialize, table, tune
 
-#: Passes, hashes in a key, and neighbours that a vector is compared with in each pass.
-PASSES, HASHES, WINDOW = 12, 3, 48
-#: Vectors of a group that stand in one block.
-BLOCK = 512
-#: Sorted rows that a partition of a pass holds at least, on average.
-PART_ROWS = 20_000
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+#: Numbers in a block, on average, and rows of a block that are compared with another at once.
+BLOCK_NUMBERS, STRIP = 1 << 18, 512
+#: Partitions of the blocks at least (as far as there are blocks), and numbers in one of them.
+BLOCK_PARTS, PART_NUMBERS = 24, 1 << 23
+#: Pairs of blocks in an Arrow batch.
+PAIRS_PER_BATCH = 4
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -41,122 +37,105 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _keys(x: np.ndarray, seed: int) -> list[np.ndarray]:
-    """For each pass the sort key of each row: HASHES cross-polytope hashes and a fine projection."""
-    dim = x.shape[1]
-    rng = np.random.Generator(np.random.PCG64([seed, dim]))
-    out = []
-    for _ in range(PASSES):
-        key = np.zeros(len(x), np.int64)
-        for _ in range(HASHES):
-            y = x @ rng.standard_normal((dim, dim))
-            at = np.abs(y).argmax(1)
-            key = key * (2 * dim) + 2 * at + (y[np.arange(len(x)), at] > 0)
-        fine = x @ rng.standard_normal(dim) / math.sqrt(dim)
-        out.append(key * 1024 + np.clip(fine * 512 + 512, 0, 1023).astype(np.int64))
-    return out
-
-
-def _near(x: np.ndarray, ids: np.ndarray, group: np.ndarray, least: float, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows at most WINDOW apart, of one group, with cosine >= least. only: pairs from True to False rows."""
-    a, b = [], []
-    for at in range(0, len(x), 2048):
-        block, more = x[at : at + 2048], x[at : at + 2048 + WINDOW]
-        sims = np.stack([_gap(block, more, g) for g in range(1, WINDOW + 1)])
-        g, i = np.nonzero(sims >= least)
-        i, j = at + i, at + i + g + 1
-        ok = (group[i] == group[j]) & (ids[i] != ids[j])
-        if only is not None:
-            ok &= only[i] & ~only[j]
-        a.append(ids[i[ok]])
-        b.append(ids[j[ok]])
-    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
-
-
-def _gap(block: np.ndarray, more: np.ndarray, g: int) -> np.ndarray:
-    out = np.full(len(block), -2.0)
-    n = min(len(block), len(more) - g)
-    if n > 0:
-        out[:n] = np.einsum("ij,ij->i", block[:n], more[g : g + n])
-    return out
-
-
-def _passes(reps: DataFrame, least: float, seed: int) -> DataFrame:
-    """Verified pairs (a, b) of representatives found by the sorted passes."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
-                rows = pa.array(np.flatnonzero(dims == dim))
-                ids, vectors = batch.column(0).take(rows), batch.column(1).take(rows)
-                for p, key in enumerate(_keys(_unit(_matrix(vectors, int(dim))), seed)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), int(dim) * PASSES + p, np.int64)), pa.array(key), ids, vectors], names=["pass", "key", "id", "vector"])
-
-    rows = reps.mapInArrow(keyed, "pass long, key long, id long, vector array<float>" if reps.schema["vector"].dataType.simpleString() == "array<float>" else "pass long, key long, id long, vector array<double>")
-    parts = max(1, math.ceil(reps.count() * PASSES / PART_ROWS))
-    ordered = materialize(rows.repartitionByRange(max(parts, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "pass", "key", "id").sortWithinPartitions("pass", "key", "id").withColumn("part", F.spark_partition_id()), "projection-passes")
-
-    def read(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        pdf = pdf.sort_values(["pass", "key", "id"], kind="stable")
-        dims = pdf["vector"].map(len).to_numpy()
-        x = np.zeros((len(pdf), dims.max() if len(dims) else 0))
-        for dim in np.unique(dims):
-            x[dims == dim, :dim] = _unit(np.stack(pdf["vector"].to_numpy()[dims == dim]).astype(np.float64))
-        return x, pdf["id"].to_numpy(), pdf["pass"].to_numpy()
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, group = read(pdf)
-        a, b = _near(x, ids, group, least)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    # a partition's last rows meet the next one's first ones; where a partition has fewer rows
-    # than a window, the other passes stand in
-    edges = ordered.withColumn("from_start", F.row_number().over(_by("pass", "key", "id"))).withColumn("from_end", F.row_number().over(_by(F.desc("pass"), F.desc("key"), F.desc("id"))))
-    seams = edges.where(F.col("from_end") <= WINDOW).select((F.col("part") + 1).alias("seam"), "pass", "key", "id", "vector", F.lit(True).alias("early")).unionByName(
-        edges.where(F.col("from_start") <= WINDOW).select(F.col("part").alias("seam"), "pass", "key", "id", "vector", F.lit(False).alias("early"))
-    )
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["early", "pass", "key", "id"], ascending=[False, True, True, True], kind="stable")
-        early = pdf["early"].to_numpy()
-        x, ids, group = read(pdf)
-        a, b = _near(x, ids, group, least, early)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    pairs = ordered.groupBy("part").applyInPandas(inside, "a long, b long").unionByName(seams.groupBy("seam").applyInPandas(across, "a long, b long"))
-    return pairs.distinct()
-
-
-def _by(*order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("part").orderBy(*order)
-
-
-def _block_counts(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Weighted links of each id within the pairs of blocks in pdf (group, x, y, side, id, weight, vector)."""
-    out_id, out_n = [], []
-    for (x, y), rows in [(k, v) for _, g in pdf.groupby("group", sort=False) for k, v in g.groupby(["x", "y"], sort=False)]:
-        sides = [rows] if x == y else [rows[rows["block"] == x], rows[rows["block"] == y]]
-        left, right = sides[0], sides[-1]
-        a, b = (_unit(np.stack(s["vector"].to_numpy()).astype(np.float64)) if len(s) else None for s in (left, right))
-        if a is None or b is None:
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of 0..n-1 that each of them reaches over the edges (a, b)."""
+    top = np.arange(n)
+    while True:
+        x, y = top[a], top[b]
+        apart = x != y
+        if not apart.any():
+            return top
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while (top[top] != top).any():
+            top = top[top]
+
+
+def _linked(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of x, row of y) of unit vectors with cosine >= least, in strips; if same, each pair once."""
+    short_x, short_y = x.astype(np.float32), y.astype(np.float32)
+    error = (x.shape[1] + 4) * 2.0**-23  # twice the bound of a product in single precision
+    for at in range(0, len(x), STRIP):
+        first = at if same else 0
+        sims = short_x[at : at + STRIP] @ short_y[first:].T
+        if sims.max(initial=-2) < least - error:
             continue
-        linked = a @ b.T >= least
-        if x == y:
-            np.fill_diagonal(linked, False)
-        out_id.append(left["id"].to_numpy())
-        out_n.append(linked @ right["weight"].to_numpy())
-        if x != y:
-            out_id.append(right["id"].to_numpy())
-            out_n.append(left["weight"].to_numpy() @ linked)
-    if not out_id:
-        return pd.DataFrame({"id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-    return pd.DataFrame({"id": np.concatenate(out_id), "n": np.concatenate(out_n)})
-
-
-def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.9, seed: int = 1) -> DataFrame:
+        i, j = np.nonzero(sims >= least - error)
+        close = sims[i, j] <= least + error
+        i, j = i + at, j + first
+        sure = ~close
+        for k in np.array_split(np.flatnonzero(close), math.ceil(close.sum() / 16384) or 1):
+            sure[k] = np.einsum("ij,ij->i", x[i[k]], y[j[k]]) >= least
+        if same:
+            sure &= i < j
+        yield i[sure], j[sure]
+
+
+def _compare(x: tuple, y: tuple, least: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, n) of each linked vector of blocks x and y, each (ids, weights, unit vectors).
+
+    n: its links in this pair of blocks, by weight; other: the vector that stands for those
+    that it reaches here, perhaps itself.
+    """
+    (ids, weight, left), (_, _, right) = x, y
+    shift = 0 if same else len(ids)
+    if not same:
+        ids, weight = np.concatenate([ids, y[0]]), np.concatenate([weight, y[1]])
+    n, top = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for i, j in _linked(left, right, least, same):
+        j = j + shift
+        for a, b in ((i, j), (j, i)):
+            n += np.bincount(a, weight[b], len(ids)).astype(np.int64)
+        nodes = np.arange(len(ids))
+        top = _roots(np.concatenate([nodes, i]), np.concatenate([top, j]), len(ids))
+    at = np.flatnonzero(n)
+    return ids[at], ids[top[at]], n[at]
+
+
+def _links(reps: DataFrame, least: float) -> DataFrame:
+    """(id, other, n) by _compare of all pairs of blocks of reps (id, weight, vector)."""
+    spark = reps.sparkSession
+    kind = "float" if reps.schema["vector"].dataType.simpleString() == "array<float>" else "double"
+    rows = reps.select("id", "weight", F.col("vector").cast(f"array<{kind}>").alias("vector"), F.size("vector").alias("dim"))
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") / BLOCK_NUMBERS).alias("blocks"), (F.count("*") * F.col("dim")).alias("numbers"))
+    blocks, numbers = sizes.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("numbers"), F.lit(0))).first()
+    dealt = rows.join(F.broadcast(sizes.select("dim", "blocks")), "dim").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dtype = np.dtype("<f4" if kind == "float" else "<f8")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.stack(pdf["vector"].to_numpy()).astype(dtype)
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "weights": [pdf["weight"].to_numpy(np.int64).tobytes()], "vectors": [values.tobytes()]})
+
+    packed = materialize(dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block long, ids binary, weights binary, vectors binary"), "vector-blocks")
+    parts = max(1, min(int(blocks), BLOCK_PARTS), math.ceil(numbers / PART_NUMBERS))
+    sides = [packed.repartition(parts).select(*(F.col(c).alias(f"{side}_{c}") for c in packed.columns)) for side in "xy"]
+    pairs = sides[0].hint("shuffle_replicate_nl").join(sides[1].hint("shuffle_replicate_nl"), F.expr("x_dim = y_dim and x_block <= y_block"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict = {}
+
+        def block(row: dict, side: str) -> tuple:
+            key = row[f"{side}_dim"], row[f"{side}_block"]
+            if last.get(side, (None,))[0] != key:  # the left block stays for a run of pairs
+                ids, weights, values = (np.frombuffer(row[f"{side}_{c}"], t) for c, t in (("ids", np.int64), ("weights", np.int64), ("vectors", dtype)))
+                last[side] = key, (ids, weights, _unit(values.astype(np.float64).reshape(-1, key[0])))
+            return last[side][1]
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                found = _compare(block(row, "x"), block(row, "y"), least, row["x_block"] == row["y_block"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["id", "other", "n"])
+
+    # a row holds two blocks, so few of them may stand in a batch
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS_PER_BATCH))
+    try:
+        return materialize(pairs.mapInArrow(compare, "id long, other long, n long"), "vector-links")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
+def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
     """One row per row of vectors: (vec_id, n_links, component_id, kept).
 
     Two vectors are linked if their cosine, in double precision, is `least` or more. n_links counts
@@ -173,18 +152,11 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     reps = materialize(good.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vectors")
     # equal ids of different vectors must not be mixed up: representatives get numbers of their own
     reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "vector-reps")
-    links = _passes(reps.select(F.col("rep").alias("id"), "vector"), least, seed)
-    groups = connected_components(links, name="vector-components")
-    grouped = reps.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep")
+    links = _links(reps.select(F.col("rep").alias("id"), "weight", "vector"), least)
+    groups = connected_components(links, "id", "other", name="vector-components")
+    grouped = reps.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep").select("rep", "id", "group")
     grouped = materialize(grouped, "vector-groups")
-    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = grouped.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", F.col("rep").alias("id"), "weight", "vector")
-    # small groups share a task, a pair of full blocks has one of its own
-    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(grouped.count() / (4 * BLOCK)))
-    counted = dealt.withColumn("bin", F.pmod(F.xxhash64("group", "x", "y"), F.lit(bins))).groupBy("bin").applyInPandas(lambda pdf: _block_counts(pdf, least), "id long, n long")
-    found = counted.groupBy("id").agg(F.sum("n").alias("n"))
+    found = links.groupBy("id").agg(F.sum("n").alias("n"))
     least_id = grouped.groupBy("group").agg(F.min("id").alias("component"))
     ranked = grouped.join(least_id, "group").select("rep", "component").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     figures = reps.join(ranked, "rep", "left").select("vector", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +200,33 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_a_large_table(spark, tmp_path):
+    """Pairs just above the limit, and stars whose leaves are linked with the centre only, among 50,000 vectors."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    x = rng.standard_normal((50_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.arange(len(x))
+    links = np.zeros(len(x), int)
+
+    def plant(at, centre, cosine):
+        y = rng.standard_normal(64)
+        y -= y @ x[centre] * x[centre]
+        x[at] = cosine * x[centre] + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)
+        want[at] = centre
+        links[at] += 1
+        links[centre] += 1
+
+    for k in range(1000):
+        plant(40_000 + k, k, rng.uniform(0.9001, 0.92))
+    for k in range(600):
+        plant(45_000 + k, 2000 + k % 100, 0.905)
+    ids = pa.array(np.arange(len(x)))
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(list(x.astype(np.float32)))}), tmp_path / "x.parquet")
+    got = embeddings.near_vectors(spark.read.parquet(str(tmp_path / "x.parquet"))).toPandas().sort_values("vec_id")
+    assert got["n_links"].tolist() == links.tolist()
+    assert got["component_id"].tolist() == want.tolist()
+
+
 def test_sharding(spark, docs):
     rows = docs.unionByName(docs.limit(3)).unionByName(spark.range(100, 4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("").alias("n_tokens"), F.lit("").alias("score")))
     got = sharding.shard(rows, [1.0] * 16).collect()
