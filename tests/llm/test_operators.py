@@ -80,6 +80,20 @@ def test_secrets(spark):
     assert got[0].redacted is None and got[2].redacted == '[ASSIGN]" x'
 
 
+def test_random_keys_and_clean_identifiers():
+    rng = random.Random(1)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    both = upper + upper.lower()
+    for letters in (digits + "ABCDEF", upper + "234567", upper + digits, upper.lower() + digits, both + digits, both + digits + "+/", both + digits + "-_"):
+        for n in (20, 21, 22, 24, 32):
+            assert sum(not secret_scan.suspicious("".join(rng.choices(letters, k=n))) for _ in range(1000)) <= 20, (letters, n)
+    assert sum(not secret_scan.suspicious("".join(rng.choices(both, k=24))) for _ in range(1000)) <= 30
+    clean = "averylongwordwithoutanydigitsinit getUserAccountByIdentifier parseHTTPResponseHeaders parseJSONToXMLDocument MAXIMUM_RETRY_COUNT_V2 internationalization18 src/main/java/org/v2/file_name10"
+    clean += " Donaudampfschifffahrtsgesellschaft some-css-class--modifier-2 __init_subclass_hook__ 2024-01-15_backup_file user_profile_image_id2 test_sha256_of_utf8_text //////////////////// ===================="
+    assert [w for w in clean.split() if secret_scan.find(w)] == []
+    assert not secret_scan.suspicious("AB_" * 5000 + "AB") and secret_scan.suspicious("AB_" * 50 + "A1b2C3d4E5f6G7h8I9j0K1l2M3n4")
+
+
 def test_entropy_by_definition():
     rng = random.Random(2)
     for _ in range(50):
