@@ -13,6 +13,7 @@ longest-first marking lay the tiles.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,8 @@ def _item_seeds(items: DataFrame, least: int) -> DataFrame:
 
 
 def _doc_seeds(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame:
-    """(doc, seed, place) where a run of words of a document hits the bit map; place: its first word."""
+    """(doc, body, seed, place) where a run of words of a document hits the bit map; body: a digest of
+    its text, which keeps different texts of one id apart; place: the run's first word."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,9 +77,11 @@ def _doc_seeds(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFram
                     at = np.flatnonzero((hit > 0) & (w.doc[:n] == w.doc[width - 1 :]))
                     if len(at):
                         doc = w.doc[at]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc], pa.int64()), pa.array(s[at].view(np.int64)), pa.array((at - w.bounds[doc]).astype(np.int32))], names=["doc", "seed", "place"])
+                        own, of = np.unique(doc, return_inverse=True)
+                        body = pa.array([hashlib.blake2b(texts[i + d], digest_size=16).digest() for d in own], pa.binary()).take(pa.array(of))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc], pa.int64()), body, pa.array(s[at].view(np.int64)), pa.array((at - w.bounds[doc]).astype(np.int32))], names=["doc", "body", "seed", "place"])
 
-    return docs.mapInArrow(run, "doc long, seed long, place int")
+    return docs.mapInArrow(run, "doc long, body binary, seed long, place int")
 
 
 def tile(at: np.ndarray, place: np.ndarray, width: int) -> list[tuple[int, int, int]]:
@@ -113,7 +117,7 @@ def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
     tiles = tile(pdf["at"].to_numpy(np.int64), pdf["place"].to_numpy(np.int64), width)
     words = int(pdf["words"].iloc[0])
     covered = sum(n for _, _, n in tiles)
-    return pd.DataFrame({"doc_id": [pdf["doc"].iloc[0]], "item_id": [pdf["item"].iloc[0]], "item_words": [words], "tiles": [len(tiles)], "longest": [max(n for _, _, n in tiles)], "covered": [covered], "coverage": [covered / words]})
+    return pd.DataFrame({"doc_id": [pdf["doc"].iloc[0]], "item": [pdf["item"].iloc[0]], "item_words": [words], "tiles": [len(tiles)], "longest": [max(n for _, _, n in tiles)], "covered": [covered], "coverage": [covered / words]})
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 5, coverage: float = 0.5) -> DataFrame:
@@ -123,12 +127,15 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     Words are runs of ASCII letters and digits and of other non-ASCII characters, lowered. A tile
     has `least` words or more; an item with fewer words is one tile. Null, empty and wordless
     texts and items match nothing; null ids are dropped with their rows. Rows that repeat a doc_id
-    or an item_id count as one text only if their texts are equal; otherwise the least text does.
+    or an item_id with equal texts count once; different texts under one id are judged each by
+    itself, and each pair of them that leaks gives a row.
     """
     spark = docs.sparkSession
     tune(spark)
-    named = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").groupBy("item").agg(F.min("text").alias("text"))
-    seeds = materialize(_item_seeds(named, least), "benchmark-seeds")
+    # different texts of one id must not be mixed up: they get numbers of their own
+    named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
+    named = materialize(named.withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
+    seeds = materialize(_item_seeds(named.select("item", "text"), least), "benchmark-seeds")
     n_seeds, shapes = seeds.count(), sorted(r.width for r in seeds.select("width").distinct().collect())
     size = 1 << int(np.clip(np.ceil(np.log2(max(n_seeds, 1) * BITS_PER_SEED)), 12, MOST_BITS))
     # at most size / 64 rows, so this is bounded
@@ -137,12 +144,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     bits[marked["word"].to_numpy(np.int64)] = marked["mask"].to_numpy(np.int64).view(np.uint64)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     hits = materialize(_doc_seeds(rows, bits, shapes), "document-seeds").distinct()
-    found = hits.join(seeds, "seed").select("doc", "item", "words", "width", "at", "place")
+    found = hits.join(seeds, "seed").select("doc", "body", "item", "words", "width", "at", "place")
     # a pair needs seeds for at least coverage * words - (tiles' ends): drop what can't reach it before grouping
-    enough = found.groupBy("doc", "item").agg(F.countDistinct("at").alias("n"), F.max("words").alias("words"), F.max("width").alias("width")).where(F.col("n") * F.col("width") >= F.ceil(F.col("words") * coverage))
-    grouped = found.join(enough.select("doc", "item"), ["doc", "item"], "left_semi").groupBy("doc", "item")
-    out = grouped.applyInPandas(_tiles, "doc_id long, item_id long, item_words int, tiles int, longest int, covered int, coverage double")
-    return out.where(F.col("coverage") >= coverage)
+    enough = found.groupBy("doc", "body", "item").agg(F.countDistinct("at").alias("n"), F.max("words").alias("words"), F.max("width").alias("width")).where(F.col("n") * F.col("width") >= F.ceil(F.col("words") * coverage))
+    grouped = found.join(enough.select("doc", "body", "item"), ["doc", "body", "item"], "left_semi").groupBy("doc", "body", "item")
+    out = grouped.applyInPandas(_tiles, "doc_id long, item long, item_words int, tiles int, longest int, covered int, coverage double")
+    out = out.where(F.col("coverage") >= coverage).join(named.select("item", "item_id"), "item")
+    return out.select("doc_id", "item_id", "item_words", "tiles", "longest", "covered", "coverage")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

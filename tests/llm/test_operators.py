@@ -171,6 +171,16 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs.limit(0), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_repeated_ids(spark):
+    rng = random.Random(9)
+    first, second, third = sorted(words_of(rng, 30) for _ in range(3))
+    items = spark.createDataFrame([(1, first), (1, second), (1, second), (2, third)], "item_id long, text string")
+    w = third.split()
+    texts = [(1, "a " + first), (2, "b " + second), (2, "b " + second), (3, " ".join(w[:10])), (3, "pad " * 12 + " ".join(w[15:25])), (4, "clean"), (4, third)]
+    got = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in got) == [(1, 1, 1.0), (2, 1, 1.0), (4, 2, 1.0)]
+
+
 def test_tiles_by_definition():
     def plain(a, b, least):
         ma, mb, out = [False] * len(a), [False] * len(b), []
