@@ -14,25 +14,31 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import normalizers
 
-from .kernels import ragged
-from .runtime import table, tune
+from .characters import OUTSIDE, lower, odd_classes, odd_forms
+from .kernels import ragged, small
+from .runtime import others, ship, table
 from .token_counts import byte_letters
 
 #: Bytes of text that are encoded at a time; a longer text stands alone.
 GROUP_BYTES = 4 << 20
 
 
+def _odd() -> tuple[dict[int, str], list[int]]:
+    """What the library treats otherwise than Python: classes, and all code points of texts to be normalized by the library."""
+    return odd_classes(), odd_forms()
+
+
 class WordEncoder:
-    """Encodes texts as a lower-casing word BPE file asks for."""
+    """Encodes texts as a lower-casing word BPE file asks for. odd: from _odd(), to spare a task the work."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, odd: tuple[dict[int, str], list[int]] | None = None, room: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -54,6 +60,10 @@ class WordEncoder:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"])
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.stand_in, forms = odd or _odd()
+        self.odd = np.zeros(OUTSIDE, bool)
+        self.odd[forms] = True
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.room = room
         self._forget()
 
@@ -128,8 +138,12 @@ class WordEncoder:
 
     def _words(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character is lowered by itself
-        return self.word.findall(text.lower())
+            if self.odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+                text = self.normalizer.normalize_str(text)
+                shown = text.translate(self.stand_in)  # each character as one of its class, so places stay
+                return [text[m.start() : m.end()] for m in self.word.finditer(shown)]
+            text = unicodedata.normalize("NFC", text)
+        return self.word.findall(lower(text))
 
     def split(self, text: str) -> list[str]:
         """The words of a text; a special token in it is one word."""
@@ -161,9 +175,14 @@ class WordEncoder:
         return " ".join([self.token[i] for i in ids])
 
 
-@lru_cache(2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str, odd: tuple[dict[int, str], list[int]] | None = None) -> WordEncoder:
+    """The encoder of a file, made once in each process."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path, odd)
+    return _encoders[path]
 
 
 KINDS = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -175,11 +194,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", outputs: tuple[str, .
     ids, n_tokens: the token ids of the whole text and their number; decoded: the text that they
     decode to; ids_sha256, decoded_sha256: digests of the ids as little-endian unsigned 32-bit
     integers and of the decoded text in UTF-8. Null counts as empty: no tokens. Columns of docs
-    with these names are replaced, others stay. Repeated rows are encoded each. An empty table
-    gives an empty table.
+    with these names, in upper or lower case, are replaced, others stay. Repeated rows are encoded
+    each. An empty table gives an empty table.
     """
-    tune(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in outputs]
+    ship(docs.sparkSession)
+    kept = others(docs, outputs)
+    odd = docs.sparkSession.sparkContext.broadcast(_odd())
     schema = docs.select(*kept).schema
     for name in outputs:
         schema = schema.add(name, _type(KINDS[name]))
@@ -195,8 +215,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", outputs: tuple[str, .
         return hashlib.sha256(ids.astype("<u4").tobytes() if name == "ids_sha256" else shown.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        for group in _groups(batches, kept.index(text)):
+        e = encoder(path, odd.value)
+        for group in _groups(small(batches), kept.index(text)):
             texts = [x or "" for batch in group for x in batch.column(kept.index(text)).to_pylist()]
             ids, shown = e.encode(texts)
             at = 0

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import PUNCT, Words, encoded, shingles, slices
-from .runtime import materialize, table, tune
+from .kernels import PUNCT, Words, encoded, shingles, slices, small
+from .runtime import materialize, ship, table, whole_number
 
 #: Bits of the seeds' map: at least this many for each seed, and at most 2 ** MOST_BITS (32 MB) in all.
 BITS_PER_SEED, MOST_BITS = 1024, 28
@@ -37,7 +37,7 @@ def _item_seeds(items: DataFrame, least: int) -> DataFrame:
     """(seed, item, words, width, at) for each run of `least` words of each item; of the whole item if it is shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = encoded(batch.column(1))
             for i, j in slices([len(x) for x in texts]):
                 w = _words(texts[i:j])
@@ -62,7 +62,7 @@ def _doc_seeds(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         top = np.uint64(len(bits) * 64 - 1)
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = encoded(batch.column(1))
             for i, j in slices([len(x) for x in texts]):
@@ -131,7 +131,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     itself, and each pair of them that leaks gives a row.
     """
     spark = docs.sparkSession
-    tune(spark)
+    ship(spark)
+    whole_number(docs, doc_id)
+    whole_number(items, item_id)
     # different texts of one id must not be mixed up: they get numbers of their own
     named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
     named = materialize(named.withColumn("item", F.monotonically_increasing_id()), "benchmark-items")

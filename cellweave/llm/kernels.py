@@ -1,22 +1,25 @@
 """Vectorised text kernels for use inside tasks: word and n-gram hashes of many texts at once.
 
+Hashes come in families that are independent of each other: what one family finds, another confirms.
+
 Every function works on whole texts. Work is cut into slices of about SLICE bytes, so that
 temporary arrays stay small whatever the length of a batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 SLICE = 1 << 20
-_M64 = (1 << 64) - 1
-_PRIME = 0x9E3779B97F4A7C15 | 1
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
+#: Bytes of a span from which it is hashed by itself.
+LONG_SPAN = 256
+#: What the hash of a span starts from, by family, and what each step multiplies by.
+_SEEDS = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, (4, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The bytes of a lane of eight that belong to a span with 0 to 8 bytes left.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def byte_set(*chars: int) -> np.ndarray:
@@ -40,17 +43,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, SLICE + (SLICE >> 2))
-        for name, base in (("_pow", _PRIME), ("_inv", pow(_PRIME, -1, 1 << 64))):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            globals()[name] = np.multiply.accumulate(a)
-    return _pow, _inv
-
-
 def slices(sizes: Sequence[int], limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about `limit` bytes in all; a longer text stands alone."""
     start = total = 0
@@ -63,20 +55,33 @@ def slices(sizes: Sequence[int], limit: int = SLICE) -> Iterator[tuple[int, int]
         yield start, len(sizes)
 
 
-def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes a[start:end] for each span, by one running (Karp-Rabin) sum."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    powers, inverse = _powers(len(a) + 1)
-    run = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_BYTE[a] * powers[: len(a)], out=run[1:])
-    return mix((run[ends] - run[starts]) * inverse[starts])
+def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes a[start:end] for each span.
+
+    The hash starts from the length and takes in eight bytes at a time, each followed by a
+    bijective scrambling; so spans of one length up to eight bytes never collide. Long spans are
+    hashed one by one.
+    """
+    seed, factor = _SEEDS[family]
+    n = ends - starts
+    h = mix(n.astype(np.uint64) * factor ^ seed)
+    lanes = np.ndarray((len(a) + 1,), "<u8", np.append(a, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    left = np.flatnonzero((n > 0) & (n < LONG_SPAN))
+    at = 0
+    while len(left):
+        lane = lanes[starts[left] + at] & _MASK[np.minimum(n[left] - at, 8)]
+        h[left] = mix((h[left] ^ lane) * factor)
+        at += 8
+        left = left[n[left] > at]
+    for i in np.flatnonzero(n >= LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(a[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.tobytes()).digest(), "little")
+    return h
 
 
 class Words:
     """The words of a slice of texts: `hash`, `doc` (index of the text), `start`, `end` in `data`."""
 
-    def __init__(self, texts: Sequence[bytes], separators: np.ndarray = BLANK, fold: np.ndarray | None = LOWER):
+    def __init__(self, texts: Sequence[bytes], separators: np.ndarray = BLANK, fold: np.ndarray | None = LOWER, family: int = 0):
         blob = b"\n".join(texts) + b"\n"
         a = np.frombuffer(blob, np.uint8)
         self.data = a = fold[a] if fold is not None else a
@@ -87,7 +92,7 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_start = np.concatenate([[0], np.cumsum(lengths)])
         self.doc = np.searchsorted(self.text_start, self.start, "right") - 1
-        self.hash = span_hashes(a, self.start, self.end)
+        self.hash = span_hashes(a, self.start, self.end, family)
         #: Words of text i are bounds[i]:bounds[i + 1].
         self.bounds = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
@@ -104,6 +109,14 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def small(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches of at most `rows` rows, without a copy; so what a task holds at a time doesn't
+    depend on the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encoded(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]

@@ -22,20 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import mix, slices
-from .runtime import table, tune
-from .token_counts import _L, _classes
+from .characters import OUTSIDE, mask
+from .kernels import mix, slices, small
+from .runtime import materialize, others, ship, table
 
-_END = 0x110000
 _SPACE = 0x20
 #: Lengths of the n-grams. Three code points of 21 bits fit a long.
 LENGTHS = (2, 3)
 
 
-def _letters() -> np.ndarray:
-    return np.append(_classes()[:_END] <= _L, False)
-
-
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n-grams of the texts as longs, the text of each, and the number of letters of each text.
 
@@ -45,8 +40,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points = np.frombuffer("\0".join([*(x.lower() for x in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     lengths = np.fromiter((len(x.lower()) + 1 for x in texts), np.int64, len(texts))
     ends = np.cumsum(lengths)
-    points[ends - 1] = _END
-    letter = _letters()[points]
+    points[ends - 1] = OUTSIDE
+    letter = mask("letter")[points]
     doc = np.repeat(np.arange(len(texts)), lengths)
     n_letters = np.bincount(doc[letter], minlength=len(texts))
     edge = ~letter
@@ -124,7 +119,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, inverse = np.unique(g, return_inverse=True)
         return g, np.bincount(inverse, n, len(g)).astype(np.int64)
 
-    for batch in batches:
+    for batch in small(batches):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i, j in slices([len(x) for x in texts]):
             g, doc, _ = grams(texts[i:j])
@@ -145,11 +140,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", min_share: float = 2e-5, contrast: float = 8, slots: int = 1 << 20, hashes: int = 3) -> LanguageFilter:
     """Learn from all rows of docs whose lang and text are not null."""
-    tune(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     counts = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    from .runtime import materialize
-
     counts = materialize(counts, "language-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(totals, "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= min_share)
@@ -181,18 +174,19 @@ def identify(docs: DataFrame, filt: LanguageFilter, text: str = "text") -> DataF
     """Adds lang_pred and score to docs; no shuffle.
 
     lang_pred is `und`, with score 0, if the text is null or has no letter, and if no language was
-    learned. Of languages with equal counts the first in order wins. Columns with these names are
-    replaced, others (a `lang` too) stay and are not looked at. Repeated rows are judged each.
+    learned. Of languages with equal counts the first in order wins. Columns with these names, in
+    upper or lower case, are replaced, others (a `lang` too) stay and are not looked at. Repeated
+    rows are judged each; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    tune(spark)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    ship(spark)
+    kept = others(docs, ("lang_pred", "score"))
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
     sent = spark.sparkContext.broadcast((filt.languages, filt.masks, filt.hashes, filt.rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = LanguageFilter(*sent.value)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(kept.index(text)).to_pylist()
             langs: list[str] = []
             scores = [np.zeros(0)]

@@ -5,7 +5,8 @@ exponentially spaced logarithm of the least of the shingles' exponentially distr
 under the i-th hash. Sketches merge by taking the larger registers, and two sets agree in a
 register about as often as they overlap. Bands of register values give candidates; the joint
 likelihood of the two sketches and the known set sizes estimates the similarity; pairs that may
-reach the threshold are compared on their full sets.
+reach the threshold are compared on their full sets. Sketches and full sets come from word hashes
+of different families, so a link needs both of two independent 64-bit hashes to agree.
 
 Groups of copies are never expanded into pairs:
 * equal sets are one representative,
@@ -21,6 +22,7 @@ Groups of copies are never expanded into pairs:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .kernels import BLANK, SLICE, Words, encoded, mix, ragged, shingles, slices
-from .runtime import materialize, table, tune
+from .kernels import BLANK, SLICE, Words, encoded, mix, ragged, shingles, slices, small
+from .runtime import discard, materialize, ship, table, whole_number
 
 #: Bands and registers in a band: a pair of similarity 0.8 meets in a band with probability 0.99995.
 BANDS, ROWS = 25, 5
@@ -42,6 +44,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 SLACK = 8.0
 #: Equal registers that a pair needs to be compared at all; at similarity 0.8 fewer come with probability 4e-5.
 LEAST_EQUAL = 84
+#: Family of the word hashes of full sets; the sketches' is 0.
+CONFIRM = 1
 #: Members of a bucket in one block.
 BLOCK = 2048
 #: Distinct ids up to which they are broadcast (8 bytes each).
@@ -97,10 +101,10 @@ def similarity_likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np
     return np.minimum(grid[0, best], most[:, 0]), ll[rows, best] - ll[:, -1]
 
 
-def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
+def _sets(texts: list[bytes], k: int, family: int = 0) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for i, j in slices([len(x) for x in texts], SLICE // 2):
-        w = Words(texts[i:j], BLANK)
+        w = Words(texts[i:j], BLANK, family=family)
         for d in range(j - i):
             yield np.unique(shingles(w.hash[w.bounds[d] : w.bounds[d + 1]], k))
 
@@ -109,13 +113,14 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
     """(id, n, set_id, bands, sketch) for each row; set_id and sketch are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, set_id, bands, sketch = [], [], [], []
-            for s in _sets(encoded(batch.column(1)), k):
-                n.append(len(s))
-                if len(s):
+            texts = encoded(batch.column(1))
+            for s, other in zip(_sets(texts, k), _sets(texts, k, CONFIRM), strict=True):
+                n.append(len(other))
+                if len(other):
                     r = registers(s)
-                    set_id.append(np.array([len(s), s.sum(), mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64).tobytes())
+                    set_id.append(hashlib.blake2b(s.tobytes() + other.tobytes(), digest_size=16).digest())
                     bands.append(band_keys(r))
                     sketch.append(r.tobytes())
                 else:
@@ -131,7 +136,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs with sketches sa, sb and set sizes na, nb, those that may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (2, 3))
@@ -151,8 +156,8 @@ def _item_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [s.view(np.int64) for s in _sets(encoded(batch.column(1)), k)]
+        for batch in small(batches):
+            values = [s.view(np.int64) for s in _sets(encoded(batch.column(1)), k, CONFIRM)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "items"])
 
     return materialize(texts.mapInArrow(sets, "id long, items array<long>"), "near-sets")
@@ -229,7 +234,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     items = _item_sets(ids, docs, k)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep = []
             x, y = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
@@ -251,11 +256,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     100 * |intersection| >= percent * |union| are linked; component_id is the least doc_id
     reachable, the own one included, and kept tells whether that is the row's own. Null, empty
     and blank texts have an empty set and are linked with nothing. Rows that repeat a doc_id are
-    taken as one document each and linked through it. Other columns are not read.
+    taken as one document each and linked through it. A row without a doc_id is linked with nothing,
+    either: its component_id is null and it is kept. doc_id must hold whole numbers; anything else is
+    an error. Other columns are not read; an empty table gives an empty table.
     """
-    tune(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = materialize(_sketches(rows, shingle), "near-sketches")
+    ship(docs.sparkSession)
+    whole_number(docs, doc_id)
+    every = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = every.where("id is not null")
+    sketched = materialize(_sketches(every, shingle), "near-sketches")
+    nameless = sketched.where("id is null").select("id", "n")
+    sketched = sketched.where("id is not null")
     classes = materialize(sketched.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "near-classes")
     same = sketched.where("set_id is not null").select("set_id", "id").join(classes.where("copies > 1").select("set_id", "rep"), "set_id").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     # the representative's own row; one of them if the row repeats
@@ -268,7 +279,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = materialize(bare.join(sizes, ["band", "key"]), "near-members")
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     centres = members.join(degree, "id").groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"))).alias("centre")).select("band", "key", (-F.col("centre.low")).alias("centre"))
-    members = materialize(members.select("id", "band", "key").join(centres, ["band", "key"]), "near-members")
+    centred = materialize(members.select("id", "band", "key").join(centres, ["band", "key"]), "near-centred")
+    discard(members)
+    members = centred
     sketch = reps.select("id", "n", "sketch")
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
@@ -291,7 +304,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = _blocks(rest).groupBy("bin").applyInPandas(lambda pdf: _forest(pdf, percent), "a long, b long")
 
     found = connected_components(links.unionByName(more).unionByName(same), name="near-components")
-    return sketched.select("id", "n").join(found, "id", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept"))
+    out = sketched.select("id", "n").join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    out = out.unionByName(nameless.withColumn("component", F.lit(None).cast("long")))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BLANK, Words, encoded, mix, slices, span_hashes
-from .runtime import materialize, table, tune
+from .kernels import BLANK, Words, encoded, mix, slices, small, span_hashes
+from .runtime import materialize, others, ship, table
 
 WORD_SLOTS, SHAPE_SLOTS, DIM, NONZERO = 8192, 1024, 64, 4
 SLOTS = WORD_SLOTS + SHAPE_SLOTS
@@ -71,7 +71,7 @@ def _add_contexts(sums: np.ndarray, words: np.ndarray, shapes: np.ndarray, bound
 
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(SLOTS * DIM, np.int64)
-    for batch in batches:
+    for batch in small(batches):
         texts = encoded(batch.column(0))
         for i, j in slices([len(x) for x in texts], 4 << 20):
             _add_contexts(sums, *tokens(texts[i:j]))
@@ -87,7 +87,7 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The word vector of each slot, from all rows of docs, of length 1 (0 for a slot without a token)."""
-    tune(docs.sparkSession)
+    ship(docs.sparkSession)
     parts = docs.select(F.col(text).alias("text")).mapInArrow(_partial_sums, "block int, sums binary").select("block", F.spark_partition_id().alias("part"), "sums")
     parts = materialize(parts, "quality-sums")
     while (parts.agg(F.max("part")).first()[0] or 0) > 0:
@@ -192,7 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, doc_id: str =
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x = features(encoded(batch.column(1)), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast("string"), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
@@ -204,18 +204,18 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, doc_id: str =
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, text: str = "text") -> DataFrame:
     """Adds `score`, the probability of label 1, to docs; no shuffle.
 
-    Null and empty texts have the score of no words at all. A column named score is replaced,
-    others stay. Repeated rows are scored each; an empty table gives an empty table.
+    Null and empty texts have the score of no words at all. A column named score, in upper or lower
+    case, is replaced, others stay. Repeated rows are scored each; an empty table gives an empty table.
     """
-    tune(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "score"]
+    ship(docs.sparkSession)
+    kept = others(docs, ("score",))
     schema = docs.select(*kept).schema.add("score", "double")
     sent = docs.sparkSession.sparkContext.broadcast((vectors, astuple(net)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, parameters = sent.value
         net = Network(*parameters)
-        for batch in batches:
+        for batch in small(batches):
             x = features(encoded(batch.column(kept.index(text))), vectors)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.score(x))], names=[*kept, "score"])
 

@@ -28,15 +28,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import slices, span_hashes
-from .runtime import tune
+from .characters import OUTSIDE, mask
+from .kernels import slices, small, span_hashes
+from .runtime import others, ship
 
 # Classes of characters. R, E, V, L and S end the contractions 're 've 'll 's 't 'm 'd.
 _LETTER, _S, _R, _E, _V, _L, _NUMBER, _OTHER, _QUOTE, _SPACE, _WHITE, _RESET = range(12)
-_OUTSIDE = 0x110000
 # States: what the pre-token in progress is.
 _START, _LETTERS, _NUMBERS, _OTHERS, _ONE_SPACE, _SPACES, _ONE_WHITE, _WHITES, _Q, _Q_R, _Q_V, _Q_L, _DONE = range(13)
 _STATES = 13
+#: Bytes of a pre-token up to which its count is remembered.
+LONG_PIECE = 256
 # Emissions: a pre-token starts at this character, at the one before it.
 _HERE, _BEFORE = 1, 2
 
@@ -70,15 +72,13 @@ def _step(state: int, c: int) -> tuple[int, int]:
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    """The class of each code point; surrogates, which no text holds, are `other`."""
-    out = np.full(_OUTSIDE + 2, _OTHER, np.uint8)
-    points = np.array([i for i in range(_OUTSIDE) if not 0xD800 <= i < 0xE000])
-    chars = "".join(map(chr, points))
-    for pattern, c in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _WHITE)):
-        out[points[[m.start() for m in regex.finditer(pattern, chars)]]] = c
+    """The class of each code point, as the library has it."""
+    out = np.full(OUTSIDE + 1, _OTHER, np.uint8)
+    for name, c in (("letter", _LETTER), ("number", _NUMBER), ("space", _WHITE)):
+        out[mask(name)] = c
     for c, of in ((_S, "stmd"), (_R, "r"), (_E, "e"), (_V, "v"), (_L, "l"), (_QUOTE, "'"), (_SPACE, " ")):
         out[[ord(x) for x in of]] = c
-    out[_OUTSIDE:] = _RESET
+    out[OUTSIDE] = _RESET
     return out
 
 
@@ -259,7 +259,7 @@ class TokenCounter:
         self.pieces = PieceCounter([(raw(a), raw(b)) for a, b in merges])
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.splitter, self.classes = Splitter(), _classes()
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.room = room
 
     def _stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +268,7 @@ class TokenCounter:
         found = [len(x) + 1 for x in texts]
         points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32).copy()
         lengths = np.array(found, np.int64)
-        points[np.cumsum(lengths) - 1] = _OUTSIDE
+        points[np.cumsum(lengths) - 1] = OUTSIDE
         return points, lengths
 
     def counts(self, texts: list[str]) -> np.ndarray:
@@ -284,7 +284,7 @@ class TokenCounter:
             of += [i] * len(split)
         points, lengths = self._stream(parts)
         starts = self.splitter.starts(self.classes[points])
-        ends_of_parts = points == _OUTSIDE
+        ends_of_parts = points == OUTSIDE
         width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + ((points >= 0x10000) & ~ends_of_parts)
         width[ends_of_parts] = 1
         at = np.concatenate([[0], np.cumsum(width)])
@@ -295,15 +295,18 @@ class TokenCounter:
         real = ~ends_of_parts[first]
         begin, end = at[first[real]], at[last[real]]
         part = np.searchsorted(np.cumsum(lengths), first[real], "right")
-        h, index, inverse = np.unique(span_hashes(a, begin, end), return_index=True, return_inverse=True)
+        _, index, inverse = np.unique(span_hashes(a, begin, end), return_index=True, return_inverse=True)
         known, count = self.known, self.pieces.count
         if len(known) > self.room:
             known.clear()
-        each = np.empty(len(h), np.int64)
-        for i, (x, b, e) in enumerate(zip(h.tolist(), begin[index].tolist(), end[index].tolist(), strict=True)):
-            n = known.get(x)
+        each = np.empty(len(index), np.int64)
+        for i, (b, e) in enumerate(zip(begin[index].tolist(), end[index].tolist(), strict=True)):
+            piece = data[b:e]
+            n = known.get(piece)
             if n is None:
-                n = known[x] = count(data[b:e])
+                n = count(piece)
+                if e - b <= LONG_PIECE:
+                    known[piece] = n
             each[i] = n
         return extra + np.bincount(np.asarray(of)[part], each[inverse], len(texts)).astype(np.int64)
 
@@ -317,19 +320,19 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     """Adds n_bytes, n_tokens (long) and over_limit (n_tokens > limit) to docs; no shuffle.
 
     path: a byte-level BPE file, found under the same path on every executor. Null and empty
-    texts have no bytes and no tokens. Columns of docs with these names are replaced, all others
-    stay. Repeated rows are counted each. An empty table gives an empty table.
+    texts have no bytes and no tokens. Columns of docs with these names, in upper or lower case, are
+    replaced, all others stay. Repeated rows are counted each. An empty table gives an empty table.
     """
-    tune(docs.sparkSession)
+    ship(docs.sparkSession)
     names = ("n_bytes", "n_tokens", "over_limit")
-    kept = [c for c in docs.columns if c not in names]
+    kept = others(docs, names)
     schema = docs.select(*kept).schema
     for name, kind in zip(names, ("long", "long", "boolean"), strict=True):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = ["" if x is None else x for x in batch.column(kept.index(text)).to_pylist()]
             sizes = np.array([len(x.encode()) for x in texts], np.int64)
             tokens = np.concatenate([np.zeros(0, np.int64), *(c.counts(texts[i:j]) for i, j in slices(sizes))])
