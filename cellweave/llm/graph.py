@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import discard, join_hot, materialize
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, n: int) -> DataFrame:
     """One step of the large-star/small-star scheme; edges hold u > v.
 
     Large: every neighbour above u is linked with the least of u's neighbourhood.
     Small: u and every neighbour below it are linked with the least of those.
-    The minimum is an aggregate with map-side combine and comes back by a join with one row
-    per u, so that a hub is neither gathered in one task nor multiplied.
+    The minimum is an aggregate with map-side combine, and a hub's edges stay where they are when
+    it comes back. n: rows of edges at most.
     """
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    near = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = least.select("u", F.least("u", "m").alias("m"), "n")
+    near = join_hot(both, least, ["u"], "n", n if small else 2 * n)
     if small:
         out = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
@@ -31,17 +31,18 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", name: str
     """(id, component): the least id that each linked id reaches. Ids without a link get no row.
 
     links: two long columns a and b; direction, repeated rows and loops don't matter. Null ends
-    are no links. The number of rounds grows with the logarithm of the longest path.
+    are no links. The number of rounds grows with the logarithm of the longest path. Each round's
+    edges are a table of their own, deleted once the next one is written.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u > v").distinct()
     edges = materialize(edges, name)
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     mark = None
     while True:
-        edges = materialize(_star(_star(edges, small=False), small=True), name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(now) == mark:
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if now == mark or not now[0]:
             break
-        mark = tuple(now)
+        mark = now
+        grown = materialize(_star(_star(edges, small=False, n=now[0]), small=True, n=2 * now[0]), name)
+        discard(edges)
+        edges = grown
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
