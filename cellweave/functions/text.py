@@ -87,6 +87,11 @@ def ser_ditto(title: Column | str, brand: Column | str) -> Column:
     return strip(F.concat(F.lit("COL title VAL "), t, F.when(b != "", F.concat(F.lit(" COL brand VAL "), b)).otherwise("")))
 
 
+def ser_ditto_entity(name: Column | str) -> Column:
+    """`COL name VAL x` (P10)."""
+    return strip(F.concat(F.lit("COL name VAL "), _clean(name)))
+
+
 def _words(x: Column | str, n: int) -> Column:
     return F.array_join(F.slice(F.split(F.coalesce(_c(x), F.lit("")), " "), 1, n), " ")
 
@@ -97,6 +102,11 @@ def ser_bracket(title: Column | str, brand: Column | str, title_words: int = 50,
     return F.concat_ws(" ", part("title", title, title_words), part("brand", brand, brand_words))
 
 
+def ser_bracket_entity(name: Column | str, words: int = 60) -> Column:
+    """`[COL] name [VAL] x` with words cut off."""
+    return strip(F.concat(F.lit("[COL] name [VAL] "), _words(name, words)))
+
+
 def strip_colval(x: Column | str) -> Column:
     """Bracket markup as `f: v | f: v`; a text without it is only stripped."""
     x = _c(x)

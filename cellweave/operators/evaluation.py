@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_entity_id
+from ..functions.text import name_match, normalize_entity_id
+from .ranking import running
 
 THRESHOLDS = 200
 
@@ -50,11 +51,15 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def prf(df: DataFrame, label: str, predicted: Column) -> DataFrame:
-    """One row: precision, recall, f1; a division by zero is 0 (A5)."""
+def _prf(label: str, predicted: Column) -> list[Column]:
     y = F.col(label) == 1
     tp, p, n = F.count_if(y & predicted), F.count_if(predicted), F.count_if(y)
-    return df.agg(*(F.round(v, 6).alias(k) for k, v in (("precision", _ratio(tp, p)), ("recall", _ratio(tp, n)), ("f1", _ratio(2 * tp, p + n)))))
+    return [F.round(v, 6).alias(k) for k, v in (("precision", _ratio(tp, p)), ("recall", _ratio(tp, n)), ("f1", _ratio(2 * tp, p + n)))]
+
+
+def prf(df: DataFrame, label: str, predicted: Column) -> DataFrame:
+    """One row: precision, recall, f1; a division by zero is 0 (A5)."""
+    return df.agg(*_prf(label, predicted))
 
 
 def threshold_sweep(df: DataFrame, sim: str, label: str) -> DataFrame:
@@ -87,7 +92,14 @@ def pair_f1(valid: DataFrame, test: DataFrame, sim: str = "sim", label: str = "l
     """One row: the threshold tuned on valid, its F1 there, and precision, recall and F1 on test."""
     tuned = best_threshold(valid, sim, label).select(F.col("threshold"), F.col("f1").alias("valid_f1"))
     judged = test.crossJoin(F.broadcast(tuned))
-    return prf(judged, label, F.round(F.col(sim), 9) >= F.col("threshold")).crossJoin(tuned)
+    # the tuned row rides along, so that the sweep runs once; without test rows it is null
+    return judged.agg(*_prf(label, F.round(F.col(sim), 9) >= F.col("threshold")), F.max("threshold").alias("threshold"), F.max("valid_f1").alias("valid_f1"))
+
+
+def training_stats(labels: DataFrame, pairs: DataFrame, cluster: str, key: str) -> DataFrame:
+    """cluster_stats of pairs, with the number of labels that have no pair as `unmatched`."""
+    lost = labels.join(pairs.select(key), key, "left_anti").agg(F.count("*").alias("unmatched"))
+    return cluster_stats(pairs, cluster).crossJoin(lost)
 
 
 def cluster_stats(df: DataFrame, cluster: str) -> DataFrame:
@@ -95,24 +107,40 @@ def cluster_stats(df: DataFrame, cluster: str) -> DataFrame:
     return df.agg(F.count("*").alias("pairs"), F.countDistinct(cluster).alias("clusters"), F.round(_ratio(F.count("*"), F.countDistinct(cluster)), 6).alias("per_cluster"))
 
 
+def _placed(df: DataFrame, value: str, by: str) -> DataFrame:
+    """(by, v, c, _upto, _total): distinct values, how often each occurs, and running counts."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    return running(counts, ["v"], [by], "c")
+
+
+def _at(index: Column) -> Column:
+    """The value at a place from 0 in sorted order, as an aggregate over _placed."""
+    return F.min(F.when(F.col("_upto") > index, F.col("v")))
+
+
 def latency_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     """(by, n, mean, median, p95): sorted values s, median s[n // 2], p95 s[int(.95 n)].
 
     Values are counted first; the picks are made among distinct values by running counts.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("c").over(Window.partitionBy(by))
-    r = counts.select(by, "v", "c", F.sum("c").over(upto).alias("upto"), n.alias("n"))
-    pick = lambda at: F.min(F.when(F.col("upto") > at, F.col("v")))
-    return r.groupBy(by).agg(F.first("n").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.first("n"), 6).alias("mean"), pick(F.floor(F.col("n") / 2)).alias("median"), pick(F.least(F.floor(F.col("n") * 95 / 100), F.col("n") - 1)).alias("p95"))
+    n = F.col("_total")
+    picks = [_at(F.floor(n / 2)).alias("median"), _at(F.least(F.floor(n * 95 / 100), n - 1)).alias("p95")]
+    return _placed(df, value, by).groupBy(by).agg(F.max(n).alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.max(n), 6).alias("mean"), *picks)
 
 
 def quantile_stats(df: DataFrame, value: str, by: str, at: Sequence[float] = (0.01, 0.05, 0.5)) -> DataFrame:
-    """(by, n, mean, std, p..): population deviation and linearly interpolated quantiles."""
+    """(by, n, mean, std, p..): population deviation and linearly interpolated quantiles (A17), by running counts of distinct values."""
     names = [f"p{round(q * 100)}" for q in at]
-    out = df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"), F.percentile(value, F.array(*map(F.lit, at))).alias("_q"))
-    return out.select(by, "n", "mean", "std", *(F.round(F.col("_q")[i], 6).alias(n) for i, n in enumerate(names)))
+    n = F.col("_total")
+    picks = []
+    for q, name in zip(at, names, strict=True):
+        place = (n - 1) * float(q)
+        picks += [_at(F.floor(place)).alias(f"_lo_{name}"), _at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_w_{name}")]
+    found = _placed(df, value, by).groupBy(F.col(by).alias("_by")).agg(*picks)
+    base = df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"))
+    joined = base.join(found, F.col(by).eqNullSafe(F.col("_by")), "left")
+    between = lambda m: F.round(F.col(f"_lo_{m}") + (F.col(f"_hi_{m}") - F.col(f"_lo_{m}")) * F.col(f"_w_{m}"), 6)
+    return joined.select(by, "n", "mean", "std", *(between(m).alias(m) for m in names))
 
 
 def histogram(df: DataFrame, value: str, by: str, lo: float, hi: float, bins: int) -> DataFrame:
@@ -126,9 +154,12 @@ def histogram(df: DataFrame, value: str, by: str, lo: float, hi: float, bins: in
 
 def ecdf(df: DataFrame, value: str, by: str) -> DataFrame:
     """(by, value, ecdf): the share of values up to each distinct value."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(by, value, F.round(F.sum("c").over(upto) / F.sum("c").over(Window.partitionBy(by)), 6).alias("ecdf"))
+    return _placed(df, value, by).select(by, F.col("v").alias(value), F.round(F.col("_upto") / F.col("_total"), 6).alias("ecdf"))
+
+
+def class_summary(df: DataFrame, value: str, by: str) -> DataFrame:
+    """(by, n, mean): size and mean of each class of values, to go with their density."""
+    return df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
 
 
 def density(df: DataFrame, value: str, by: str, grid: int = 1024, lo: float = -1.0, hi: float = 1.0, width: float = 0.02, cells: int = 4000) -> DataFrame:
@@ -153,6 +184,29 @@ def error_buckets(a: DataFrame, b: DataFrame, c: DataFrame, key: Sequence[str] =
     return out.withColumn("bucket", F.when(x & y & z, "all_correct").when(~x & ~y & ~z, "all_wrong").when(x & ~y & ~z, "only_a").otherwise("mixed"))
 
 
+def name_cases(first: DataFrame, *others: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key.., gold_name, top1_0, ok_0, top1_1, .., bucket): dumps (key.., pos, gold_name, top1_name) side by side.
+
+    Of rows with one key the last by pos counts, and only keys that all dumps hold. The gold name is
+    the first dump's; cases without one are left out. A first place is right if its name matches (P4,
+    P5); the buckets are those of error_buckets.
+    """
+    dumps = [d.groupBy(*key).agg(F.max_by(F.struct("gold_name", "top1_name"), "pos").alias(f"_d{i}")) for i, d in enumerate((first, *others))]
+    out = dumps[0]
+    for d in dumps[1:]:
+        out = out.join(d, list(key))
+    out = out.withColumn("gold_name", F.col("_d0.gold_name")).where(F.coalesce(F.col("gold_name") != "", F.lit(False)))
+    ok = []
+    for i in range(len(dumps)):
+        out = out.withColumn(f"top1_{i}", F.col(f"_d{i}.top1_name")).withColumn(f"ok_{i}", name_match(f"top1_{i}", "gold_name"))
+        ok.append(F.col(f"ok_{i}"))
+    every, none, rest = F.lit(True), F.lit(True), F.lit(True)
+    for i, x in enumerate(ok):
+        every, none, rest = every & x, none & ~x, rest & ~x if i else rest
+    bucket = F.when(every, "all_correct").when(none, "all_wrong").when(ok[0] & rest, "only_a").otherwise("mixed")
+    return out.withColumn("bucket", bucket).drop(*(f"_d{i}" for i in range(len(dumps))))
+
+
 def bucket_counts(joined: DataFrame) -> DataFrame:
     return joined.groupBy("bucket").agg(F.count("*").alias("n"))
 

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import blank, expand_property, last_segment, normalize_entity_id, strip
+from ..functions.text import blank, cell_at, expand_property, last_segment, normalize_entity_id, row_text, ser_bracket, ser_bracket_entity, strip
+from .ranking import running
 
 
 def first_by(df: DataFrame, key: str, value: str, pos: str) -> DataFrame:
@@ -82,15 +82,6 @@ def drop_blank(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def join_dumps(key: Sequence[str], *dumps: DataFrame) -> DataFrame:
-    """Dumps (key.., pos, row) joined on key, of equal keys the last."""
-    out = None
-    for i, d in enumerate(dumps):
-        one = d.groupBy(*key).agg(F.max_by("row", "pos").alias(f"row_{i}"))
-        out = one if out is None else out.join(one, list(key))
-    return out
-
-
 def build_cluster_kb(rows: DataFrame, gt: DataFrame, prefix: str = "cluster:") -> DataFrame:
     """(id, name, title, text, type, path): one entity per label, named by its first title (R11). rows(abs_row, title), gt(abs_row, label)."""
     named = first_by(rows.join(gt, "abs_row"), "label", "title", "abs_row")
@@ -139,24 +130,68 @@ def keep_relation(members: DataFrame, rel: str | None = None, headers: bool = Tr
 
 
 def cluster_labels(df: DataFrame, key: str) -> DataFrame:
-    """df with `label`: the place of key, from 0, among its distinct values in order.
+    """df with `label`: the place of key, from 0, among its distinct values in order."""
+    values = running(df.select(key).where(F.col(key).isNotNull()).distinct(), [key])
+    return df.join(values.select(key, (F.col("_upto") - 1).alias("label")), key)
+
 
-    The distinct values are sorted in ranges, and each range is numbered from the sizes of those before it.
+def training_cells(labels: DataFrame, rows: DataFrame, kb: DataFrame) -> DataFrame:
+    """(lid, id, cell_text, entity_text, label) of labels(lid, abs_row, id).
+
+    Ids and kb(id, name, pos) meet by their last path segments, of equal ones the last entity; labels
+    without a row of rows(abs_row, title, brand) or an entity are left out. label: cluster_labels of id.
     """
-    values = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
-    schema = T.StructType([values.schema[key], T.StructField("label", T.LongType())])
-    return df.join(df.sparkSession.createDataFrame(values.rdd.zipWithIndex().map(lambda row: (row[0][0], row[1])), schema), key)
+    named = kb.groupBy(last_segment("id", trim=True).alias("id")).agg(F.max_by("name", "pos").alias("_name"))
+    own = labels.withColumn("id", last_segment("id", trim=True))
+    out = own.join(rows, "abs_row").join(named, "id")
+    return cluster_labels(out.select("lid", "id", ser_bracket("title", "brand").alias("cell_text"), ser_bracket_entity("_name").alias("entity_text")), "id")
 
 
 def row_neighbours(cells: DataFrame, keys: Sequence[str], pos: str = "col", text: str = "text") -> DataFrame:
-    """Each cell with the texts of the other cells of its row (keys = table, row) or column, in order."""
+    """Each cell with the texts of the other cells of its row, in order (J11); a row of a table is a bounded group."""
     whole = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, text))).alias("_all"))
     return cells.join(whole, list(keys)).withColumn("neighbours", F.transform(F.filter("_all", lambda c: c[pos] != F.col(pos)), lambda c: c[text])).drop("_all")
 
 
-def prefix_header(cells: DataFrame) -> DataFrame:
-    """cells(table_id, row, col, text) with `header : text` in data rows; header rows have row -1."""
-    heads = cells.where("row = -1").groupBy("table_id", "col").agg(F.min_by("text", "text").alias("_head"))
+def column_neighbours(mentions: DataFrame, cells: DataFrame) -> DataFrame:
+    """(table_id, row, col, n_row, n_text): for each of mentions(table_id, row, col, text) the data cells of its column,
+    itself included if it is one; itself alone if there are none (J12). One row for each neighbour, so no column stands in one row."""
+    data = cells.where("row >= 0").select("table_id", "col", F.col("row").alias("n_row"), F.col("text").alias("n_text"))
+    joined = mentions.join(data, ["table_id", "col"], "left")
+    alone = F.col("n_row").isNull()
+    return joined.select("table_id", "row", "col", F.coalesce("n_row", "row").alias("n_row"), F.when(alone, F.col("text")).otherwise(F.col("n_text")).alias("n_text"))
+
+
+def extract_cells(tables: DataFrame, labels: DataFrame, row_context: bool = False) -> DataFrame:
+    """labels(table_id, row, col, ..) of nested tables(_id, tableData) with the cell's text.
+
+    row_context: with the texts of the whole row as well (P28, blank ones kept). Tables without a label
+    aren't read further (J7); labels without a table are dropped, cells out of range are empty.
+    """
+    asked = wanted(tables.withColumnRenamed("_id", "table_id"), labels.select("table_id").distinct(), "table_id")
+    joined = labels.join(asked.select("table_id", "tableData"), "table_id")
+    out = joined.withColumn("text", cell_at("tableData", "row", "col"))
+    if row_context:
+        out = out.withColumn("row_context", row_text(F.coalesce(F.get("tableData", F.col("row")), F.expr("filter(flatten(tableData), x -> false)")), skip_blank=False))
+    return out.drop("tableData")
+
+
+def labelled_cells(graphs: DataFrame) -> DataFrame:
+    """(table_id, cell, id) of graphs(table_id, labeled_indices, target_ent_ids): the nested ids are flattened and go with the indices in order."""
+    flat = F.arrays_zip(F.col("labeled_indices").alias("cell"), F.flatten("target_ent_ids").alias("id"))
+    return graphs.select("table_id", F.inline(flat)).toDF("table_id", "cell", "id").where("cell is not null")
+
+
+def entity_mask(cells: DataFrame, labels: DataFrame, on: Sequence[str] = ("table_id", "row", "col")) -> DataFrame:
+    """cells with entity_mask, 1 for those that labels name and 0 for all others."""
+    marked = labels.select(*on).distinct().withColumn("_m", F.lit(1))
+    return cells.join(marked, list(on), "left").withColumn("entity_mask", F.coalesce("_m", F.lit(0))).drop("_m")
+
+
+def prefix_header(cells: DataFrame, pos: str = "pos") -> DataFrame:
+    """cells(table_id, row, col, text, pos) with `header : text` in data rows; header rows have row -1, and of several headers
+    of a column the first by pos counts (P9)."""
+    heads = cells.where("row = -1").groupBy("table_id", "col").agg(F.min_by("text", pos).alias("_head"))
     joined = cells.join(heads, ["table_id", "col"], "left")
     return joined.withColumn("text", F.when((F.col("row") != -1) & F.col("_head").isNotNull(), F.concat("_head", F.lit(" : "), "text")).otherwise(F.col("text"))).drop("_head")
 
@@ -188,8 +223,16 @@ def tables_by_size(cells: DataFrame, lo: int, hi: int) -> DataFrame:
     return wanted(cells, cells.groupBy("table_id").agg(F.count("*").alias("n")).where(F.col("n").between(lo, hi)), "table_id")
 
 
-def normalize_table(wide: DataFrame, key: str, columns: Sequence[str], found: DataFrame) -> DataFrame:
-    """wide with each cell replaced by the name found(cell, name) for it, if any (R9): melted, joined once, pivoted back."""
+def above_threshold(df: DataFrame, score: str, least: float = 0.5) -> DataFrame:
+    """Rows with a score of `least` or more; a null score is none."""
+    return df.where(F.col(score) >= least)
+
+
+def normalize_table(wide: DataFrame, key: str, columns: Sequence[str], found: DataFrame, replace_with: str = "name") -> DataFrame:
+    """wide with each cell replaced by the name or the id that found(cell, id, name) has for it, if that isn't empty (R9):
+    melted, joined once, pivoted back. found with `key` and `column` goes by these, too, so by the place of a cell."""
     long = wide.unpivot([key], list(columns), "column", "cell")
-    named = long.join(found.groupBy("cell").agg(F.min("name").alias("name")), "cell", "left").withColumn("cell", F.coalesce("name", "cell"))
+    on = [c for c in (key, "column", "cell") if c in found.columns]
+    new = found.groupBy(*on).agg(F.min(replace_with).cast("string").alias("_new"))
+    named = long.join(new, on, "left").withColumn("cell", F.when(F.coalesce(F.col("_new") != "", F.lit(False)), F.col("_new")).otherwise(F.col("cell")))
     return named.groupBy(key).pivot("column", list(columns)).agg(F.first("cell"))

@@ -10,12 +10,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..functions.vectors import cosine
 
-QUERY_BLOCK, KB_BLOCK = 4096, 8192
+#: Queries and documents or vectors of a block at most, on average, and queries of a block at least where more blocks give more tasks.
+QUERY_BLOCK, KB_BLOCK, LEAST_BLOCK = 8192, 32768, 64
 
 
 def rank_candidates(df: DataFrame, by: str = "qid", score: str = "score", tie: str = "id", k: int | None = None, rank: str = "rank") -> DataFrame:
@@ -31,57 +33,130 @@ def corpus_stats(docs: DataFrame, doc_id: str = "id", text: str = "name") -> tup
     return tf, tf.groupBy("token").agg(F.count("*").alias("df")), tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
 
 
+def _grid(spark: SparkSession, queries: int, rows: int) -> tuple[int, int]:
+    """How many blocks queries and rows are cut into. More blocks of queries than needed give every core a pair of blocks."""
+    nk = max(1, math.ceil(rows / KB_BLOCK))
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(queries / QUERY_BLOCK), min(math.ceil(queries / LEAST_BLOCK), math.ceil(tasks / nk))), nk
+
+
+def _block(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n))
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, nq: int, nk: int) -> tuple:
+    """Packed blocks of both sides (x, ..) and (y, ..), one row each, grouped so that every block of a side meets every one of the other."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    return left.withColumn("y", upto(nk)).groupBy("x", "y").cogroup(right.withColumn("x", upto(nq)).groupBy("x", "y"))
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "id", text: str = "name", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, rank, id, score): the k best documents of each query by BM25 over the query's distinct words.
 
-    Queries without a shared word get no row. Frequent words make large keys; the join is a plain
-    sort-merge join, whose large partitions adaptive execution splits.
+    Queries without a shared word get no row. Only postings of words that are asked for count. Queries
+    and documents are cut into blocks; in a pair of blocks each query adds its words' postings up in
+    one array over the block's documents, and only its k best leave. So a frequent word costs its
+    postings, and no row for each query and document that share it. Scores are rounded to 6 decimals.
     """
+    spark = docs.sparkSession
     tf, df, size = corpus_stats(docs, doc_id, text)
     words = queries.select("qid", F.explode(F.array_distinct(tokenize("text"))).alias("token"))
-    # only the words asked for are scored
     asked = words.select("token").distinct()
     weight = df.join(asked, "token").crossJoin(F.broadcast(size)).select("token", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "avg_len")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     postings = tf.join(weight, "token").select("token", "id", part.alias("part"))
-    scores = words.join(postings, "token").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return rank_candidates(scores, k=k).select("qid", "rank", "id", "score")
+    nq, nk = _grid(spark, queries.count(), docs.count())
+    qid_type, id_type = queries.schema["qid"].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
+
+    def pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["qid", "token"])
+        return pd.DataFrame({"x": pdf["x"].iloc[:1], "qids": [pdf["qid"].to_numpy()], "tokens": ["\n".join(pdf["token"])]})
+
+    def pack_docs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["token", "id"])
+        ids, doc = np.unique(pdf["id"].to_numpy(), return_inverse=True)
+        tokens, n = np.unique(pdf["token"].to_numpy().astype(str), return_counts=True)
+        return pd.DataFrame({"y": pdf["y"].iloc[:1], "ids": [ids], "tokens": ["\n".join(tokens)], "n": [n], "doc": [doc.astype(np.int32)], "parts": [pdf["part"].to_numpy()]})
+
+    q = words.withColumn("x", _block("qid", nq)).groupBy("x").applyInPandas(pack_queries, f"x long, qids array<{qid_type}>, tokens string")
+    d = postings.withColumn("y", _block("id", nk)).groupBy("y").applyInPandas(pack_docs, f"y long, ids array<{id_type}>, tokens string, n array<long>, doc array<int>, parts array<double>")
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {"qid": [], "id": [], "score": []}
+        if len(left) and len(right):
+            qids, asked = left["qids"].iloc[0], left["tokens"].iloc[0].split("\n")
+            ids, n, doc, parts = (np.asarray(right[c].iloc[0]) for c in ("ids", "n", "doc", "parts"))
+            ends = np.cumsum(n)
+            at = {t: (e - c, e) for t, e, c in zip(right["tokens"].iloc[0].split("\n"), ends.tolist(), n.tolist(), strict=True)}
+            scores = np.zeros(len(ids))
+            first = [0, *(i for i in range(1, len(qids)) if qids[i] != qids[i - 1]), len(qids)]
+            for a, e in zip(first, first[1:]):
+                scores[:] = 0
+                for t in asked[a:e]:
+                    i, j = at.get(t, (0, 0))
+                    scores[doc[i:j]] += parts[i:j]
+                rounded = np.round(scores, 6)
+                least = np.partition(rounded, -k)[-k] if len(rounded) > k else 0.0
+                # a shared word always scores above 0, so 0 stands for none
+                near = np.flatnonzero((rounded >= least) & (scores > 0))
+                near = near[np.lexsort((near, -rounded[near]))[:k]]
+                out["qid"] += [qids[a]] * len(near)
+                out["id"] += ids[near].tolist()
+                out["score"] += rounded[near].tolist()
+        return pd.DataFrame(out)
+
+    found = _all_pairs(q, d, nq, nk).applyInPandas(search, f"qid {qid_type}, id {id_type}, score double")
+    return rank_candidates(found, k=k).select("qid", "rank", "id", "score")
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best columns of each row, by score and then id."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+    """The k best columns of each row, by score and then id; ids ascend."""
+    k = min(k, scores.shape[1])
+    least = np.partition(scores, -k, axis=1)[:, -k]
+    order = np.empty((len(scores), k), np.int64)
+    for i, row in enumerate(scores):
+        near = np.flatnonzero(row >= least[i])
+        order[i] = near[np.lexsort((near, -row[near]))[:k]]
     return ids[order], np.take_along_axis(scores, order, 1)
 
 
-def knn_topk(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector", query_block: int = QUERY_BLOCK, kb_block: int = KB_BLOCK) -> DataFrame:
+def knn_topk(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector") -> DataFrame:
     """(qid, rank, id, score): exact cosine top-k of queries(qid, vector) in kb(id, vector) (R2).
 
-    Both sides are cut into blocks by hash; every pair of blocks is one group, whose k best per
-    query are merged. Scores are rounded to 9 decimals, ties go to the lesser id.
+    Both sides are cut into blocks by hash and packed, floats as floats; every block of queries meets
+    every one of the kb, and the k best of each query and block are merged. Scores are computed in
+    double precision and rounded to 9 decimals, ties go to the lesser id.
     """
-    nq = max(1, math.ceil(queries.count() / query_block))
-    nk = max(1, math.ceil(kb.count() / kb_block))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    q = queries.select(F.col("qid"), F.col(vector).cast("array<double>").alias("qv"), block("qid", nq).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nk - 1).cast("long"))).alias("y"))
-    d = kb.select(F.col("id"), F.col(vector).cast("array<double>").alias("dv"), block("id", nk).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("x"))
+    nq, nk = _grid(queries.sparkSession, queries.count(), kb.count())
     qid_type, id_type = queries.schema["qid"].dataType.simpleString(), kb.schema["id"].dataType.simpleString()
 
+    def packed(df: DataFrame, key: str, axis: str, n: int) -> DataFrame:
+        single = df.schema[vector].dataType.simpleString() == "array<float>"
+        kind = "<f4" if single else "<f8"
+
+        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("key")
+            return pd.DataFrame({axis: pdf[axis].iloc[:1], f"{axis}_keys": [pdf["key"].to_numpy()], f"{axis}_vectors": [np.stack(pdf["v"].to_numpy()).astype(kind).tobytes()], f"{axis}_kind": [kind]})
+
+        rows = df.select(F.col(key).alias("key"), F.col(vector).cast(f"array<{'float' if single else 'double'}>").alias("v"), _block(key, n).alias(axis))
+        return rows.groupBy(axis).applyInPandas(pack, f"{axis} long, {axis}_keys array<{df.schema[key].dataType.simpleString()}>, {axis}_vectors binary, {axis}_kind string")
+
+    def block(pdf: pd.DataFrame, axis: str) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.asarray(pdf[f"{axis}_keys"].iloc[0])
+        v = np.frombuffer(pdf[f"{axis}_vectors"].iloc[0], pdf[f"{axis}_kind"].iloc[0]).astype(float).reshape(len(keys), -1)
+        return keys, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": left["qid"][:0], "id": right["id"][:0], "score": np.zeros(0)})
-        a, b = (np.stack(v.to_numpy()) for v in (left["qv"], right["dv"]))
-        a, b = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (a, b))
-        order = np.argsort(right["id"].to_numpy())
-        ids, b = right["id"].to_numpy()[order], b[order]
-        out = []
-        for at in range(0, len(a), 256):
-            found, score = _top(np.round(a[at : at + 256] @ b.T, 9), ids, k)
-            out.append(pd.DataFrame({"qid": np.repeat(left["qid"].to_numpy()[at : at + 256], found.shape[1]), "id": found.ravel(), "score": score.ravel()}))
-        return pd.concat(out)
-
-    parts = q.groupBy("x", "y").cogroup(d.groupBy("x", "y")).applyInPandas(search, f"qid {qid_type}, id {id_type}, score double")
-    return rank_candidates(parts, k=k).select("qid", "rank", "id", "score")
+        out = [pd.DataFrame({"qid": [], "id": [], "score": []})]
+        if len(left) and len(right):
+            (qids, a), (ids, b) = block(left, "x"), block(right, "y")
+            for at in range(0, len(a), 128):
+                found, score = _top(np.round(a[at : at + 128] @ b.T, 9), ids, k)
+                out.append(pd.DataFrame({"qid": np.repeat(qids[at : at + 128], found.shape[1]), "id": found.ravel(), "score": score.ravel()}))
+        return pd.concat(out[1:] or out)
+
+    pairs = _all_pairs(packed(queries, "qid", "x", nq), packed(kb, "id", "y", nk), nq, nk)
+    return rank_candidates(pairs.applyInPandas(search, f"qid {qid_type}, id {id_type}, score double"), k=k).select("qid", "rank", "id", "score")
 
 
 def knn_by_scale(queries: DataFrame, kb: DataFrame, subsets: DataFrame, scales: Sequence[int], k: int) -> DataFrame:
@@ -102,7 +177,6 @@ def dump_topk(cands: DataFrame, k: int = 5) -> DataFrame:
 
 def knn_topk_lsh(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector", tables: int = 32, bits: int = 5, seed: int = 7) -> DataFrame:
     """Approximate cosine top-k (R3): candidates share a random-hyperplane bucket in one of the tables; scores are exact."""
-    from ..functions.vectors import cosine
 
     @F.pandas_udf("array<long>")
     def buckets(column: pd.Series) -> pd.Series:
@@ -148,6 +222,59 @@ def embed(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray] |
     return df.join(distinct.withColumn(out, run(F.col(text))), text, "left")
 
 
+def texts_to_encode(*columns: tuple[DataFrame, str], out: str = "text") -> DataFrame:
+    """(text): the distinct texts of columns (df, name) of any tables, so that each is encoded once."""
+    rows = None
+    for df, name in columns:
+        one = df.select(F.col(name).alias(out)).where(F.col(name).isNotNull())
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.distinct()
+
+
+def attach_vectors(pairs: DataFrame, left: DataFrame, right: DataFrame, text: str = "text", vector: str = "vector") -> DataFrame:
+    """pairs(left, right, ..) with left_vector and right_vector of tables (text, vector) of distinct texts."""
+    of = lambda t, side: t.select(F.col(text).alias(side), F.col(vector).alias(f"{side}_vector"))
+    return pairs.join(of(left, "left"), "left").join(of(right, "right"), "right")
+
+
+def pair_similarities(encoder: Callable[[DataFrame], DataFrame], *tables: DataFrame) -> list[DataFrame]:
+    """tables of pairs(left, right, ..), each with sim, the cosine of both texts (U5, R4, J10, the first half of R8).
+
+    encoder adds `vector` to a table (text). The texts of all tables are encoded once for each side.
+    """
+    sides = [encoder(texts_to_encode(*((t, side) for t in tables))) for side in ("left", "right")]
+    return [attach_vectors(t, *sides).withColumn("sim", cosine("left_vector", "right_vector")).drop("left_vector", "right_vector") for t in tables]
+
+
+def build_candidates(queries: DataFrame, kb: DataFrame, k: int = 50) -> DataFrame:
+    """(qid, rank, id, name, score): the candidate pool of queries(qid, vector) in kb(id, name, vector)."""
+    return knn_topk(queries, kb, k).join(kb.select("id", "name"), "id").select("qid", "rank", "id", "name", "score")
+
+
+def candidate_hits(cands: DataFrame, gold: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:
+    """One row (n, hits_5, share_5, hits_10, share_10): queries of gold(qid, gold_id) whose gold is among the first, by plain ids."""
+    own = gold.join(cands.select("qid", "rank", F.col("id").alias("gold_id")), ["qid", "gold_id"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))
+    hit = lambda n: F.count_if(F.col("rank") <= n)
+    figures = [c for n in ks for c in (hit(n).alias(f"hits_{n}"), F.round(F.coalesce(hit(n) / F.count("*"), F.lit(0.0)), 6).alias(f"share_{n}"))]
+    return own.agg(F.count("*").alias("n"), *figures)
+
+
+def diagnose(cands: DataFrame, gold: DataFrame, kb: DataFrame, cells: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, gold_id, gold_name, top1_id, top1_name, top1_score, top_ids, top_names, row_context): the whole dump of R16.
+
+    gold(qid, gold_id, table_id, row, col); blank golds are left out. row_context: the texts of the
+    other cells(table_id, row, col, text) of the row, in order.
+    """
+    named = cands.where(F.col("rank") <= k).join(kb.select("id", "name"), "id", "left")
+    best = named.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "name", "score"))).alias("_b"))
+    own = gold.where(F.trim(F.col("gold_id").cast("string")) != "")
+    around = own.select("qid", "table_id", "row", F.col("col").alias("_own")).join(cells, ["table_id", "row"]).where(F.col("col") != F.col("_own"))
+    around = around.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]).alias("row_context"))
+    out = own.join(kb.select(F.col("id").alias("gold_id"), F.col("name").alias("gold_name")), "gold_id", "left").join(best, "qid", "left").join(around, "qid", "left")
+    first, no = F.get("_b", F.lit(0)), F.array().cast("array<string>")
+    return out.select("qid", "gold_id", "gold_name", first["id"].alias("top1_id"), first["name"].alias("top1_name"), first["score"].alias("top1_score"), F.transform("_b", lambda b: b["id"]).alias("top_ids"), F.transform("_b", lambda b: b["name"]).alias("top_names"), F.coalesce("row_context", no).alias("row_context"))
+
+
 def score_pairs(df: DataFrame, left: str, right: str, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None, out: str = "score") -> DataFrame:
     """Adds a pair score (X2); by default the Jaccard similarity of the word sets."""
     if scorer is not None:
@@ -183,7 +310,10 @@ def reply_stats(replies: DataFrame, pick: Column) -> DataFrame:
 def context_vector(cands: DataFrame, kb: DataFrame, k: int = 3, vector: str = "vector") -> DataFrame:
     """(qid, vector): the softmax-weighted mean of the k best candidates' vectors."""
     top = cands.where(F.col("rank") <= k)
-    weight = F.exp("score") / F.sum(F.exp("score")).over(Window.partitionBy("qid"))
+    own = Window.partitionBy("qid")
+    shifted = F.exp(F.col("score") - F.max("score").over(own))
+    top = top.withColumn("_e", shifted)
+    weight = F.col("_e") / F.sum("_e").over(own)
     parts = top.withColumn("_w", weight).join(kb.select("id", vector), "id").select("qid", "_w", F.posexplode(vector).alias("dim", "x"))
     sums = parts.groupBy("qid", "dim").agg(F.sum(F.col("_w") * F.col("x")).alias("x"))
     return sums.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias(vector))

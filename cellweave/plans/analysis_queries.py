@@ -65,7 +65,7 @@ def context_vectors(spark, d):
 @_query(_KNN_SQL + """SELECT qid, min(CASE WHEN rank = 1 THEN id END) AS top1_id, round(min(CASE WHEN rank = 1 THEN score END), 6) AS top1_score,
   string_agg(id, ',' ORDER BY rank) AS top5_ids FROM r WHERE rank <= 5 GROUP BY qid""")
 def topk_dump(spark, d):
-    """One row per query with its best candidate and the ids of the five best."""
+    """R16, the lists: one row per query with its best candidate and the ids of the five best."""
     q, v = _vectors(spark, d)
     out = R.dump_topk(R.knn_topk(q, v, 5), 5)
     return out.select("qid", "top1_id", F.round("top1_score", 6).alias("top1_score"), F.array_join("top5_ids", ",").alias("top5_ids"))
@@ -106,7 +106,7 @@ def headed_rows(spark, d):
     cell = lambda i, c: F.struct(F.lit(i).alias("col"), F.col(c).alias("text"))
     cells = p.select(F.col("p_partkey").alias("row"), F.inline(F.array(cell(0, "p_name"), cell(1, "p_brand"))))
     head = spark.range(1).select(F.lit(-1).cast("long").alias("row"), F.lit(0).alias("col"), F.lit("name").alias("text"))
-    cells = cells.unionByName(head).withColumns({"table_id": F.lit("part"), "header": F.lit(None).cast("string")})
+    cells = cells.unionByName(head).withColumns({"table_id": F.lit("part"), "header": F.lit(None).cast("string"), "pos": F.lit(0)})
     return M.serialize_rows(M.prefix_header(cells)).drop("table_id")
 
 
@@ -132,16 +132,32 @@ def subsampled(spark, d):
 
 
 _BUCKET_SQL = "CAST('0x' || substr(md5('17:' || cast({0} AS varchar)), 1, 8) AS bigint) % {1}"
-_BUCKETS_SQL = "greatest(1, (SELECT count(*) FROM part) // 64)"
+_RING_SQL = f"""WITH ring AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY md5('17:' || cast(p_partkey AS varchar)), p_partkey) - 1 AS place, count(*) OVER () AS size FROM part),
+a AS (SELECT c_custkey AS pid, c_custkey % 100 AS own, step, ({_BUCKET_SQL.format('c_custkey', '(SELECT max(size) FROM ring)')} + step) % (SELECT max(size) FROM ring) AS place FROM customer, (SELECT unnest([0, 1, 2, 3]) AS step)),
+r AS (SELECT pid, own, id, row_number() OVER (PARTITION BY pid ORDER BY step) AS no FROM a JOIN ring USING (place) WHERE id <> own)
+"""
 
 
-@_query(f"""WITH k AS (SELECT p_partkey AS id, {_BUCKET_SQL.format('p_partkey', _BUCKETS_SQL)} AS b FROM part), p AS (SELECT c_custkey AS pid, c_custkey % 100 AS own, {_BUCKET_SQL.format('c_custkey', _BUCKETS_SQL)} AS b FROM customer),
-r AS (SELECT pid, id, row_number() OVER (PARTITION BY pid ORDER BY md5('17:' || cast(pid AS varchar) || ':' || cast(id AS varchar)), id) AS no FROM p JOIN k USING (b) WHERE id <> own)
-SELECT pid, id, cast(no AS int) AS no FROM r WHERE no <= 3""")
+def _own_parts(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("pid"), (F.col("c_custkey") % 100).alias("id"))
+
+
+@_query(_RING_SQL + "SELECT pid, id, cast(no AS int) AS no FROM r WHERE no <= 3")
 def negative_pairs(spark, d):
-    """Three parts for each customer that aren't its own, from one bucket of about 64 each."""
-    p = _t(spark, d, "customer").select(F.col("c_custkey").alias("pid"), (F.col("c_custkey") % 100).alias("id"))
-    return S.random_negatives(p, _t(spark, d, "part").select(F.col("p_partkey").alias("id")), 3, 17)
+    """For each customer three parts that aren't its own."""
+    return S.random_negatives(_own_parts(spark, d), _t(spark, d, "part").select(F.col("p_partkey").alias("id")), 3, 17)
+
+
+@_query(_RING_SQL + "SELECT pid, id, 0 AS label FROM r WHERE no <= 3 UNION ALL SELECT c_custkey, c_custkey % 100, 1 FROM customer")
+def training_pairs(spark, d):
+    """Each customer's own part and three others, labelled."""
+    return S.build_pairs(_own_parts(spark, d), _t(spark, d, "part").select(F.col("p_partkey").alias("id")), 3, 17)
+
+
+@_query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT c_custkey % 100 FROM customer) ORDER BY md5('19:' || cast(p_partkey AS varchar)), p_partkey LIMIT 96")
+def batch_negatives(spark, d):
+    """The first 96 parts in hash order that are no customer's own."""
+    return S.batch_negatives(_own_parts(spark, d), _t(spark, d, "part").select(F.col("p_partkey").alias("id")), 96, 19)
 
 
 @_query(f"""WITH c AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
@@ -192,7 +208,7 @@ o AS (SELECT n AS id, n AS name, 'OntologyProperty' AS type, 'Standard > ' || n
 e AS (SELECT id, arg_max(name, pos) AS name FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_brand END AS id, p_name AS name, p_partkey AS pos FROM part) GROUP BY id)
 SELECT id, name, 'Entity' AS type, 'Custom > ' || name AS path FROM e UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM e)""")
 def ontology_kb(spark, d):
-    """Part types as properties, overwritten by entities named by brand, or by type for some."""
+    """Part types as properties, overwritten by entities named by brand, or by type for some."""
     p = _t(spark, d, "part")
     named = p.select(F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("pos"))
     entities = named.select("id", "name", F.lit("Entity").alias("type"), F.concat(F.lit("Custom > "), "name").alias("path"), "pos")

@@ -327,7 +327,7 @@ def structure_mix(spark, d):
 @_query("""WITH f AS (SELECT p_brand AS cell, min(p_name) AS name FROM part WHERE p_size < 10 GROUP BY p_brand)
 SELECT p_partkey, coalesce(f.name, p_brand) AS brand, p_type AS type FROM part LEFT JOIN f ON cell = p_brand""")
 def normalize_table(spark, d):
-    """Cells of a wide table replaced by the names found for them."""
+    """R9, the join and the pivot: cells of a wide table replaced by the names found for them."""
     p = _t(spark, d, "part")
     found = p.where("p_size < 10").select(F.col("p_brand").alias("cell"), F.col("p_name").alias("name"))
     return M.normalize_table(p.select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("type")), "p_partkey", ["brand", "type"], found)
@@ -338,10 +338,13 @@ l AS (SELECT conv_id, CAST('0x' || substr(md5(cast(conv_id AS varchar)), 1, 8) A
 SELECT (SELECT count(DISTINCT conv_id) FROM c) AS tables, (SELECT 2 * count(*) FROM c) AS cells, count(*) AS linked_cells, count(DISTINCT role) AS entities,
   count(*) FILTER (b < 8) AS train, count(*) FILTER (b = 8) AS valid, count(*) FILTER (b = 9) AS test FROM l""")
 def wikitables_prep(spark, d):
-    """Conversations as nested tables with a link in each text cell."""
+    """The counters of conversations as tables, one row for each turn, with a link in each text cell."""
+    rows = _linked_turns(spark, d)
+    return wikitables.prep_stats(rows, wikitables.linked_cells(rows))
+
+
+def _linked_turns(spark, d):
     link = F.struct(F.struct(F.col("role").alias("title")).alias("target"))
     none = F.filter(F.array(link), lambda x: F.lit(False))
     cell = lambda t, links: F.struct(F.col(t).alias("text"), links.alias("surfaceLinks"))
-    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.array(cell("role", none), cell("text", F.array(link))).alias("cells"))
-    tables = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "cells"))).alias("r")).select(F.col("conv_id").cast("string").alias("_id"), F.transform("r", lambda x: x["cells"]).alias("tableData"))
-    return wikitables.prep_stats(tables, wikitables.linked_cells(tables))
+    return _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("table_id"), F.col("turn").cast("long").alias("row"), F.array(cell("role", none), cell("text", F.array(link))).alias("cells"))

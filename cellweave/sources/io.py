@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,17 +32,24 @@ def _existing(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     return [p for p, w in zip(listed, where, strict=True) if w.getFileSystem(conf).globStatus(w)]
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df with pos, ascending in file and row order."""
-    return df.withColumn("pos", F.monotonically_increasing_id())
+def numbered(sources: Sequence[DataFrame]) -> DataFrame:
+    """The rows of file sources, one after the other, with pos, which ascends in the order of the sources, of their files
+    by name, and of the rows of a file. pos is a struct (source, file, block, row) to order by, not a row number."""
+    out = None
+    for i, df in enumerate(sources):
+        # a block of a file is read by one task, in order
+        pos = F.struct(F.lit(i).alias("source"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        one = df.select(*df.columns, pos.alias("pos"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def read_kb(spark: SparkSession, paths: str | Sequence[str], max_entities: int | None = None) -> DataFrame:
-    """Entities of JSON-lines files (S1, S2); a missing path is an empty text."""
+    """Entities of JSON-lines files (S1, S2, K2), with pos in the order of the list; missing files are skipped, a missing path is an empty text."""
     found = _existing(spark, paths)
     if not found:
-        return numbered(spark.createDataFrame([], KB))
-    out = numbered(spark.read.schema(KB).json(found)).withColumn("path", F.coalesce("path", F.lit("")))
+        return spark.createDataFrame([], KB).withColumn("pos", F.struct(F.lit(0).alias("source"), F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row")))
+    out = numbered([spark.read.schema(KB).json(p) for p in found]).withColumn("path", F.coalesce("path", F.lit("")))
     return out if max_entities is None else out.orderBy("pos").limit(max_entities)
 
 
@@ -54,9 +63,16 @@ def _fields(spark: SparkSession, path: str, sep: str, least: int) -> tuple[DataF
 
 
 def read_gt(spark: SparkSession, path: str) -> DataFrame:
-    """(table_id, abs_row, col, entity_id) of a headerless CSV; short rows are dropped, ids are last segments (S3, F1)."""
-    rows, p = _fields(spark, path, ",", 4)
-    out = rows.select(strip(p[0]).alias("table_id"), strip(p[1]).try_cast("long").alias("abs_row"), strip(p[2]).try_cast("int").alias("col"), last_segment(strip(p[3])).alias("entity_id"))
+    """(table_id, abs_row, col, entity_id) of a headerless CSV; short rows are dropped, ids are last segments (S3, F1).
+
+    Fields may be quoted, a quote in them doubled. Fields beyond the fourth are ignored; a row that
+    has more than four of which the fourth is empty counts as short.
+    """
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in ("table_id", "abs_row", "col", "entity_id", "_bad")])
+    df = spark.read.schema(fields).option("columnNameOfCorruptRecord", "_bad").option("escape", '"').csv(path)
+    whole = F.col("entity_id").isNotNull() | F.col("_bad").isNull()
+    text = lambda c: strip(F.coalesce(c, F.lit("")))
+    out = df.where(whole).select(text("table_id").alias("table_id"), strip("abs_row").try_cast("long").alias("abs_row"), strip("col").try_cast("int").alias("col"), last_segment(text("entity_id")).alias("entity_id"))
     return out.where("abs_row is not null and col is not null")
 
 
@@ -79,12 +95,39 @@ def read_wt_gt(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*split_cell_key(), "zero", "title").where("row is not null and col is not null and title is not null")
 
 
+def _part(path: Column) -> Column:
+    """The number of a table chunk, from its file's name or its folder's: `part_3.csv`, `part=3/`."""
+    return F.nullif(F.regexp_extract(path, r"part[_=](\d+)(?!.*part[_=]\d)", 1), F.lit("")).cast("long")
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Table chunks in Parquet with abs_row, chunk_idx and offset: part number * CHUNK + row of the file."""
-    df = spark.read.parquet(path)
-    part = F.regexp_extract("_metadata.file_name", r"part_(\d+)", 1).cast("long")
-    out = df.withColumn("abs_row", part * CHUNK + F.col("_metadata.row_index"))
-    return out.withColumn("chunk_idx", F.floor(F.col("abs_row") / CHUNK).cast("int")).withColumn("row_in_chunk", (F.col("abs_row") % CHUNK).cast("int"))
+    """Table chunks below path with abs_row, chunk_idx and row_in_chunk: part number * CHUNK + row of the part.
+
+    A part is a Parquet file or folder, or a CSV file with a header; where both are there, Parquet is
+    read. With CSV parts all columns are texts.
+    """
+    found = []
+    parquet, texts = (_existing(spark, [f"{path}/{g}" for g in globs]) for globs in (("*.parquet", "part=*/*.parquet"), ("*.csv",)))
+    if parquet:
+        df = spark.read.option("basePath", path).parquet(*parquet)
+        row, part = F.col("_metadata.row_index"), _part(F.col("_metadata.file_path"))
+        found.append(df.select(*(c for c in df.columns if c not in ("abs_row", "part")), part.alias("_part"), row.alias("_row")))
+    if texts:
+        df = spark.read.option("header", True).csv(texts)
+        order = [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
+        rows = df.select(*(c for c in df.columns if c not in ("abs_row", "part")), _part(F.col("_metadata.file_path")).alias("_part"), *order)
+        # a part has at most CHUNK rows
+        rows = rows.withColumn("_row", (F.row_number().over(Window.partitionBy("_part").orderBy("_block", "_id")) - 1).cast("long")).drop("_block", "_id")
+        if found:
+            own = [F.col(c).cast("string").alias(c) if not c.startswith("_") else F.col(c) for c in found[0].columns]
+            rows = rows.join(found[0].select("_part").distinct(), "_part", "left_anti")
+            found[0] = found[0].select(*own)
+        found.append(rows)
+    if not found:
+        raise ValueError(f"{path} holds no table chunks")
+    df = found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
+    out = df.withColumn("abs_row", F.col("_part") * CHUNK + F.col("_row")).drop("_part", "_row")
+    return out.select("*", *row_address())
 
 
 def row_address(abs_row: str = "abs_row", size: int = CHUNK) -> list[Column]:
@@ -128,8 +171,8 @@ def open_dataset(spark: SparkSession, root: str) -> tuple[str, DataFrame]:
 
 
 def save_index(df: DataFrame, path: str, vector: str = "vector") -> None:
-    """One table (id, name, path, vector): entities and vectors can't get out of step."""
-    df.write.mode("overwrite").parquet(path)
+    """One table of id, vector and, where df has them, name and path: entities and vectors can't get out of step (S13). What was there is replaced."""
+    df.select("id", *(c for c in ("name", "path") if c in df.columns), vector).write.mode("overwrite").parquet(path)
 
 
 def load_index(spark: SparkSession, path: str, vector: str = "vector", count: int | None = None) -> DataFrame:
@@ -144,9 +187,11 @@ def load_index(spark: SparkSession, path: str, vector: str = "vector", count: in
 
 
 def save_candidates(cands: DataFrame, queries: DataFrame, path: str) -> None:
-    """Candidates as a long table; an error if they name a query that isn't there."""
+    """Candidates as a long table; an error if they name a query that isn't there, or if a query has none."""
     if not cands.join(queries, "qid", "left_anti").isEmpty():
         raise ValueError("candidates of unknown queries")
+    if not queries.join(cands, "qid", "left_anti").isEmpty():
+        raise ValueError("queries without candidates")
     cands.write.mode("overwrite").parquet(path)
 
 
@@ -162,21 +207,44 @@ def append_results(metrics: DataFrame, tag: str, path: str) -> None:
     metrics.select(F.lit(tag).alias("method"), *(F.format_string("%.4f", F.col(c).cast("double")).alias(c) for c in metrics.columns)).write.mode("append").parquet(path)
 
 
-def convert_chunks(spark: SparkSession, source: str, target: str) -> int:
-    """CSV files that target doesn't hold yet, as Parquet below target by file name; how many there were."""
-    name = F.regexp_extract("_metadata.file_name", r"^(.*)\.csv", 1)
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(source).withColumn("file", name)
-    if _existing(spark, [target]):
-        df = df.join(spark.read.parquet(target).select("file").distinct(), "file", "left_anti")
-    n = df.select("file").distinct().count()
-    if n:
-        df.write.mode("append").partitionBy("file").parquet(target)
-    return n
+def _names(spark: SparkSession, glob: str) -> list[str]:
+    """The names of the files or folders that a pattern finds."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return [f.getPath().getName() for f in found or []]
+
+
+def convert_chunks(spark: SparkSession, source: str, target: str) -> tuple[list[str], list[str]]:
+    """CSV files below source that target doesn't hold yet, as Parquet below target by file name.
+
+    Returns the names that were converted and those that could not be read, which don't stop the others.
+    A file without a row counts as converted once it is read, and is read again next time.
+    """
+    done = {n.removeprefix("file=") for n in _names(spark, f"{target}/file=*")}
+    todo = sorted(n for n in _names(spark, f"{source}/*.csv") if n.removesuffix(".csv") not in done)
+
+    def convert(names: list[str]) -> tuple[list[str], list[str]]:
+        """All in one job; if that fails, each half by itself, down to the files that can't be read."""
+        if not names:
+            return [], []
+        try:
+            df = spark.read.option("header", True).option("enforceSchema", False).csv([f"{source}/{n}" for n in names])
+            file = F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1)
+            df.withColumn("file", file).write.mode("append").partitionBy("file").parquet(target)
+            return names, []
+        except (PySparkException, Py4JJavaError):
+            if len(names) == 1:
+                return [], names
+            halves = [convert(part) for part in (names[: len(names) // 2], names[len(names) // 2 :])]
+            return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
+
+    return convert(todo)
 
 
 def split_rows(df: DataFrame, path: str, n: int = CHUNK) -> None:
-    """df in files of at most n rows, with abs_row kept."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", n).parquet(path)
+    """df(abs_row, ..) in folders `part=i` of rows i * n to i * n + n - 1, in order; read_chunks gives them their abs_row back."""
+    parts = df.withColumn("part", F.floor(F.col("abs_row") / n).cast("long"))
+    parts.repartition("part").sortWithinPartitions("part", "abs_row").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def write_dump(df: DataFrame, path: str) -> None:
