@@ -175,20 +175,36 @@ def dump_topk(cands: DataFrame, k: int = 5) -> DataFrame:
     return rows.select("qid", F.col("_b")[0]["id"].alias("top1_id"), F.col("_b")[0]["score"].alias("top1_score"), F.transform("_b", lambda b: b["id"]).alias(f"top{k}_ids"))
 
 
-def knn_topk_lsh(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector", tables: int = 32, bits: int = 5, seed: int = 7) -> DataFrame:
-    """Approximate cosine top-k (R3): candidates share a random-hyperplane bucket in one of the tables; scores are exact."""
-
-    @F.pandas_udf("array<long>")
-    def buckets(column: pd.Series) -> pd.Series:
-        x = np.stack(column.to_numpy()).astype(float)
-        planes = np.random.Generator(np.random.PCG64([seed, x.shape[1]])).standard_normal((x.shape[1], tables * bits))
-        signs = (x @ planes > 0).reshape(len(x), tables, bits)
-        keys = (signs << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
-        return pd.Series(list(keys))
-
-    q = queries.select("qid", F.col(vector).alias("qv"), F.explode(buckets(F.col(vector))).alias("bucket"))
-    d = kb.select("id", F.col(vector).alias("dv"), F.explode(buckets(F.col(vector))).alias("bucket"))
-    pairs = q.select("qid", "bucket").join(d.select("id", "bucket"), "bucket").select("qid", "id").distinct()
+def knn_topk_lsh(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector", tables: int = 32, bits: int | None = None, seed: int = 7) -> DataFrame:
+    """Approximate cosine top-k (R3): candidates share a random-hyperplane bucket in one of the tables; scores are exact.
+
+    bits: hyperplanes of a bucket; by default so many that a bucket holds about 256 of the kb, 5 at
+    least. With more than 5 a query also asks the buckets across its nearest hyperplanes, one for
+    each bit beyond, so that longer keys lose few neighbours. Every vector is indexed.
+    """
+    if bits is None:
+        bits = min(max(5, round(math.log2(max(kb.count(), 1) / 256))), 24)
+    flips = bits - 5
+
+    def buckets(probe: bool):
+        @F.pandas_udf("array<long>")
+        def run(column: pd.Series) -> pd.Series:
+            x = np.stack(column.to_numpy()).astype(float)
+            planes = np.random.Generator(np.random.PCG64([seed, x.shape[1]])).standard_normal((x.shape[1], tables * bits))
+            side = (x @ planes).reshape(len(x), tables, bits)
+            keys = ((side > 0) << np.arange(bits)).sum(2)
+            if probe and flips:
+                near = np.argsort(np.abs(side), axis=2)[:, :, :flips]
+                keys = np.concatenate([keys[:, :, None], keys[:, :, None] ^ (1 << near)], axis=2)
+            else:
+                keys = keys[:, :, None]
+            return pd.Series(list((keys + (np.arange(tables) << bits)[None, :, None]).reshape(len(x), -1)))
+
+        return run
+
+    q = queries.select("qid", F.explode(buckets(True)(F.col(vector))).alias("bucket"))
+    d = kb.select("id", F.explode(buckets(False)(F.col(vector))).alias("bucket"))
+    pairs = q.join(d, "bucket").select("qid", "id").distinct()
     scored = pairs.join(queries.select("qid", F.col(vector).alias("qv")), "qid").join(kb.select("id", F.col(vector).alias("dv")), "id").select("qid", "id", F.round(cosine("qv", "dv"), 9).alias("score"))
     return rank_candidates(scored, k=k).select("qid", "rank", "id", "score")
 

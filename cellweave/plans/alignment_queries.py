@@ -12,7 +12,7 @@ from ..operators import retrieval as R
 from ..operators import sampling as S
 from ..sources import io
 from . import wikitables
-from .queries import _BM25_SQL, _KNN_SQL, QUERY_STEP, _linked_turns, _part_kb, _query, _t, _vectors
+from .queries import _BM25_SQL, _KNN_SQL, _linked_turns, _part_kb, _query, _t, _vectors
 
 
 def _named(v):
@@ -68,15 +68,15 @@ def extracted_cells(spark, d):
     return out.select(F.col("table_id").alias("o_orderkey"), "text", "row_context", X.with_context("text", "row_context").alias("query"))
 
 
-@_query("""WITH c AS (SELECT p_brand AS t, CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END AS c, CASE WHEN p_size % 4 = 0 THEN -1 ELSE p_partkey END AS r, p_partkey, p_name FROM part)
+@_query("""WITH c AS (SELECT p_brand || '/' || p_size AS t, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS c, CASE WHEN p_partkey % 4 = 0 AND p_size % 3 > 0 THEN -1 ELSE p_partkey END AS r, p_partkey, p_name FROM part)
 SELECT m.t AS table_id, m.p_partkey AS row, m.c AS col, coalesce(n.r, m.p_partkey) AS n_row, CASE WHEN n.r IS NULL THEN m.p_name ELSE n.p_name END AS n_text
-FROM c m LEFT JOIN c n ON n.t = m.t AND n.c = m.c AND n.r >= 0 WHERE m.p_partkey % 20 = 0""")
+FROM c m LEFT JOIN c n ON n.t = m.t AND n.c = m.c AND n.r >= 0""")
 def column_neighbours(spark, d):
-    """For parts whose key is divisible by 20 the data cells of their column; a column without any gives the cell itself."""
-    header = F.col("p_size") % 4 == 0
-    cells = _t(spark, d, "part").select(F.col("p_brand").alias("table_id"), F.when(header, 1).otherwise(0).alias("col"), F.when(header, -1).otherwise(F.col("p_partkey")).alias("row"), "p_partkey", F.col("p_name").alias("text"))
-    mentions = cells.where(F.col("p_partkey") % QUERY_STEP == 0).select("table_id", F.col("p_partkey").alias("row"), "col", "text")
-    return M.column_neighbours(mentions, cells.drop("p_partkey"))
+    """Parts as cells of a table for each brand and size; each with the data cells of its column, or with itself where there are only headers."""
+    second = F.col("p_partkey") % 4 == 0
+    header = second & (F.col("p_size") % 3 > 0)
+    cells = _t(spark, d, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("table_id"), F.when(second, 1).otherwise(0).alias("col"), F.when(header, -1).otherwise(F.col("p_partkey")).alias("row"), "p_partkey", F.col("p_name").alias("text"))
+    return M.column_neighbours(cells.select("table_id", F.col("p_partkey").alias("row"), "col", "text"), cells.drop("p_partkey"))
 
 
 @_query("""SELECT DISTINCT l_orderkey AS table_id, l_linenumber AS cell, cast(l_linenumber % 2 = 1 AS int) AS entity_mask FROM lineitem""")
@@ -103,7 +103,7 @@ def normalized_cells(spark, d):
 
 
 @_query("""WITH rows AS (SELECT p_partkey AS abs_row, p_partkey // 100 AS ch, p_name, p_brand FROM part),
-gt AS (SELECT l_orderkey, l_linenumber, l_partkey + l_linenumber * 7 AS abs_row, l_linenumber % 3 AS col FROM lineitem WHERE l_orderkey % 20 = 0),
+gt AS (SELECT l_orderkey, l_linenumber, l_partkey + l_linenumber * 7 AS abs_row, l_linenumber % 3 AS col FROM lineitem),
 j AS (SELECT gt.*, gt.abs_row // 100 AS ch, p_name, p_brand, p_name IS NOT NULL AND col < 2 AS ok FROM gt LEFT JOIN rows ON rows.abs_row = gt.abs_row),
 a AS (SELECT DISTINCT ch, col FROM j WHERE ok),
 k AS (SELECT a.ch, col, rows.abs_row, CASE col WHEN 0 THEN 'title: [M] ' || p_name || ' [/M] | brand: ' || p_brand ELSE 'title: ' || p_name || ' | brand: [M] ' || p_brand || ' [/M]' END AS m,
@@ -113,9 +113,9 @@ SELECT l_orderkey, l_linenumber, j.abs_row, CASE WHEN ok THEN CASE j.col WHEN 0
   CASE WHEN NOT ok THEN '' WHEN j.col = 0 THEN 'title: [M] ' || p_name || ' [/M] | brand: ' || p_brand ELSE 'title: ' || p_name || ' | brand: [M] ' || p_brand || ' [/M]' END AS row_with_marker,
   cast(j.ch AS int) AS chunk_idx, cast(j.abs_row % 100 AS int) AS row_in_chunk, coalesce(context, '') AS context FROM j LEFT JOIN c ON c.ch = j.ch AND c.col = j.col""")
 def eval_samples(spark, d):
-    """Labels of orders whose key is divisible by 20, with marked rows and the context of their columns, in chunks of 100 rows."""
+    """Label positions with marked rows and the context of their columns, in chunks of 100 rows."""
     rows = _t(spark, d, "part").select(F.col("p_partkey").alias("abs_row"), F.array("p_name", "p_brand").alias("cells"))
-    gt = _t(spark, d, "lineitem").where(F.col("l_orderkey") % QUERY_STEP == 0).select("l_orderkey", "l_linenumber", (F.col("l_partkey") + F.col("l_linenumber") * 7).alias("abs_row"), (F.col("l_linenumber") % 3).alias("col"))
+    gt = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") + F.col("l_linenumber") * 7).alias("abs_row"), (F.col("l_linenumber") % 3).alias("col"))
     out = S.eval_samples(gt, rows, ["title", "brand"], 4, 42, 100)
     return out.withColumn("context", F.array_join("context", "#")).drop("col")
 

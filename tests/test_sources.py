@@ -232,6 +232,8 @@ def test_exact_and_approximate_search(spark):
         assert [found[k] for k in range(1, 11)] == np.lexsort((np.arange(len(s)), -s))[:10].tolist()
     near = {(r.qid, r.id) for r in R.knn_topk_lsh(queries, kb, 10).collect()}
     assert sum((q, i) in near for q, f in exact.items() for i in f.values()) / (10 * len(exact)) > 0.9
+    longer = {(r.qid, r.id) for r in R.knn_topk_lsh(queries, kb, 10, bits=9).collect()}
+    assert sum((q, i) in longer for q, f in exact.items() for i in f.values()) / (10 * len(exact)) > 0.9
     assert P.QUERIES["knn_lsh_recall"](spark, SF).first().recall >= 0.9
     assert R.knn_topk(queries, kb.limit(0), 3).count() == 0 and R.knn_topk(queries, kb.limit(2), 3).count() == 60
 
