@@ -276,3 +276,19 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """Every vector: vec_id, n_links, component_id, kept."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs by their definition, and the components of their links.
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+), reached AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reached r JOIN l ON l.a = r.b),
+least AS (SELECT a, least(a, min(b)) AS component FROM reached GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(links.n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM v LEFT JOIN links ON links.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""

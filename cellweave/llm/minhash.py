@@ -312,3 +312,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document: doc_id, n_shingles, component_id, kept; links on 2-word shingles at 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
+
+
+#: All pairs by their definition, and the components of their links.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_zip(w[:-2], w[2:]) ELSE [struct_pack(a := w[1], b := NULL)] END) AS s FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)),
+reached AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reached r JOIN l ON l.a = r.b),
+least AS (SELECT a, least(a, min(b)) AS component FROM reached GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id, coalesce(component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.a = w.doc_id
+"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from .bpe import op9_bpe
 from .chat import OP4_SQL, op4_chat_formatting
 from .decontaminate import op6_decontamination
-from .embeddings import op1_embedding_dedup
+from .embeddings import OP1_SQL, op1_embedding_dedup
 from .language import op10_language_id
-from .minhash import op8_minhash_dedup
+from .minhash import OP8_SQL, op8_minhash_dedup
 from .quality import op3_quality
 from .secret_scan import op7_secret_scans
 from .sharding import op2_sharding
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL = {"op4_chat_formatting": OP4_SQL}
+ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op8_minhash_dedup": OP8_SQL}

@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -441,6 +442,18 @@ def test_token_queries(spark, documents):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    want = con.sql(queries.ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(want.select(*columns).fetchall())
+
+
 def test_near_duplicate_query(spark, documents):
     sets = {i: shingle_set(t, 2) for i, t in documents.items()}
     want = components(sorted(documents), lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
