@@ -14,6 +14,7 @@ longest-first marking lay the tiles.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 from .kernels import PUNCT, Words, encoded, shingles, slices, small
 from .runtime import materialize, ship, table, whole_number
 
-#: Bits of the seeds' map: at least this many for each seed, and at most 2 ** MOST_BITS (32 MB) in all.
+#: Bits of the seeds' map: at least this many for each seed, and at most 2 ** MOST_BITS in all; that is 32 MB
+#: as a map and, as words and masks on their way through the driver, at most 67 MB.
 BITS_PER_SEED, MOST_BITS = 1024, 28
+#: Matched places that one task tiles, on average.
+TASK_PLACES = 20_000
 
 
 def _words(texts: list[bytes]) -> Words:
@@ -112,12 +116,21 @@ def tile(at: np.ndarray, place: np.ndarray, width: int) -> list[tuple[int, int,
     return out
 
 
+FIGURES = "doc_id long, item long, item_words int, tiles int, longest int, covered int, coverage double"
+
+
 def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
-    width = int(pdf["width"].iloc[0])
-    tiles = tile(pdf["at"].to_numpy(np.int64), pdf["place"].to_numpy(np.int64), width)
-    words = int(pdf["words"].iloc[0])
-    covered = sum(n for _, _, n in tiles)
-    return pd.DataFrame({"doc_id": [pdf["doc"].iloc[0]], "item": [pdf["item"].iloc[0]], "item_words": [words], "tiles": [len(tiles)], "longest": [max(n for _, _, n in tiles)], "covered": [covered], "coverage": [covered / words]})
+    """The figures of each document and item in pdf (doc, body, item, words, width, at, place)."""
+    out = []
+    pdf = pdf.sort_values(["doc", "body", "item"], kind="stable")
+    doc, body, item = (pdf[c].to_numpy() for c in ("doc", "body", "item"))
+    at, place, words, width = (pdf[c].to_numpy(np.int64) for c in ("at", "place", "words", "width"))
+    cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (body[1:] != body[:-1]) | (item[1:] != item[:-1])) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)], strict=True):
+        tiles = tile(at[i:j], place[i:j], int(width[i]))
+        covered = sum(n for _, _, n in tiles)
+        out.append((doc[i], item[i], int(words[i]), len(tiles), max(n for _, _, n in tiles), covered, covered / int(words[i])))
+    return pd.DataFrame(out, columns=[f.split()[0] for f in FIGURES.split(", ")])
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 5, coverage: float = 0.5) -> DataFrame:
@@ -145,12 +158,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     bits = np.zeros(size // 64, np.uint64)
     bits[marked["word"].to_numpy(np.int64)] = marked["mask"].to_numpy(np.int64).view(np.uint64)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    hits = materialize(_doc_seeds(rows, bits, shapes), "document-seeds").distinct()
-    found = hits.join(seeds, "seed").select("doc", "body", "item", "words", "width", "at", "place")
+    hits = materialize(_doc_seeds(rows, bits, shapes), "document-seeds")
+    found = hits.distinct().join(seeds, "seed").select("doc", "body", "item", "words", "width", "at", "place")
     # a pair needs seeds for at least coverage * words - (tiles' ends): drop what can't reach it before grouping
     enough = found.groupBy("doc", "body", "item").agg(F.countDistinct("at").alias("n"), F.max("words").alias("words"), F.max("width").alias("width")).where(F.col("n") * F.col("width") >= F.ceil(F.col("words") * coverage))
-    grouped = found.join(enough.select("doc", "body", "item"), ["doc", "body", "item"], "left_semi").groupBy("doc", "body", "item")
-    out = grouped.applyInPandas(_tiles, "doc_id long, item long, item_words int, tiles int, longest int, covered int, coverage double")
+    # many small pairs share a task; there are as many tasks as there is work, not as there are bytes
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(hits.count() / TASK_PLACES))
+    grouped = found.join(enough.select("doc", "body", "item"), ["doc", "body", "item"], "left_semi").withColumn("bin", F.pmod(F.xxhash64("doc", "body", "item"), F.lit(bins)))
+    out = grouped.repartition(bins, "bin").groupBy("bin").applyInPandas(_tiles, FIGURES)
     out = out.where(F.col("coverage") >= coverage).join(named.select("item", "item_id"), "item")
     return out.select("doc_id", "item_id", "item_words", "tiles", "longest", "covered", "coverage")
 
