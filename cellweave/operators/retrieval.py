@@ -10,14 +10,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..functions.vectors import cosine
 
-#: Queries and documents or vectors of a block at most, on average, and queries of a block at least where more blocks give more tasks.
-QUERY_BLOCK, KB_BLOCK, LEAST_BLOCK = 8192, 32768, 64
+#: Queries, documents, characters of documents and numbers of vectors in a block at most, on average.
+QUERY_BLOCK, DOC_BLOCK, CHARS_BLOCK, NUMBERS_BLOCK = 8192, 32_768, 16_000_000, 1 << 21
+#: Queries of a block at least where more blocks give more tasks.
+LEAST_BLOCK = 64
 
 
 def rank_candidates(df: DataFrame, by: str = "qid", score: str = "score", tie: str = "id", k: int | None = None, rank: str = "rank") -> DataFrame:
@@ -33,11 +35,11 @@ def corpus_stats(docs: DataFrame, doc_id: str = "id", text: str = "name") -> tup
     return tf, tf.groupBy("token").agg(F.count("*").alias("df")), tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
 
 
-def _grid(spark: SparkSession, queries: int, rows: int) -> tuple[int, int]:
-    """How many blocks queries and rows are cut into. More blocks of queries than needed give every core a pair of blocks."""
-    nk = max(1, math.ceil(rows / KB_BLOCK))
-    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, math.ceil(queries / QUERY_BLOCK), min(math.ceil(queries / LEAST_BLOCK), math.ceil(tasks / nk))), nk
+def _query_blocks(queries: DataFrame, nk: int) -> int:
+    """How many blocks queries are cut into that meet nk others; more than needed where that gives every core a pair of blocks."""
+    n = queries.count()
+    tasks = 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(n / QUERY_BLOCK), min(math.ceil(n / LEAST_BLOCK), math.ceil(tasks / nk)))
 
 
 def _block(key: str, n: int) -> Column:
@@ -58,14 +60,15 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "id", t
     one array over the block's documents, and only its k best leave. So a frequent word costs its
     postings, and no row for each query and document that share it. Scores are rounded to 6 decimals.
     """
-    spark = docs.sparkSession
     tf, df, size = corpus_stats(docs, doc_id, text)
     words = queries.select("qid", F.explode(F.array_distinct(tokenize("text"))).alias("token"))
     asked = words.select("token").distinct()
     weight = df.join(asked, "token").crossJoin(F.broadcast(size)).select("token", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "avg_len")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     postings = tf.join(weight, "token").select("token", "id", part.alias("part"))
-    nq, nk = _grid(spark, queries.count(), docs.count())
+    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    nk = max(1, math.ceil(n / DOC_BLOCK), math.ceil(chars / CHARS_BLOCK))
+    nq = _query_blocks(queries, nk)
     qid_type, id_type = queries.schema["qid"].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
 
     def pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +130,9 @@ def knn_topk(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector")
     every one of the kb, and the k best of each query and block are merged. Scores are computed in
     double precision and rounded to 9 decimals, ties go to the lesser id.
     """
-    nq, nk = _grid(queries.sparkSession, queries.count(), kb.count())
+    numbers = kb.agg(F.coalesce(F.sum(F.size(vector).cast("long")), F.lit(0))).first()[0]
+    nk = max(1, math.ceil(numbers / NUMBERS_BLOCK))
+    nq = _query_blocks(queries, nk)
     qid_type, id_type = queries.schema["qid"].dataType.simpleString(), kb.schema["id"].dataType.simpleString()
 
     def packed(df: DataFrame, key: str, axis: str, n: int) -> DataFrame:
