@@ -16,6 +16,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 OUTSIDE = 0x110000
 #: Planes that hold characters other than private ones; the rest is in no class.
 _PLANES = (range(0x40000), range(0xE0000, 0xE1000))
+#: Code points that the library is asked about at a time, which bounds the memory that it takes.
+PART = 4096
 PATTERNS = {"letter": r"\p{L}+", "number": r"\p{N}+", "space": r"\s+"}
 
 
@@ -29,8 +31,10 @@ def ranges(name: str) -> list[tuple[int, int]]:
     """The ranges (first, last) of code points that belong to a class of PATTERNS."""
     own = points()
     inside = np.ones(len(own) + 2, bool)
-    for _, (a, b) in pre_tokenizers.Split(Regex(PATTERNS[name]), "removed").pre_tokenize_str("".join(map(chr, own))):
-        inside[a + 1 : b + 1] = False
+    split = pre_tokenizers.Split(Regex(PATTERNS[name]), "removed")
+    for at in range(0, len(own), PART):
+        for _, (a, b) in split.pre_tokenize_str("".join(map(chr, own[at : at + PART]))):
+            inside[at + a + 1 : at + b + 1] = False
     inside[[0, -1]] = False
     edge = np.diff(inside.astype(np.int8))
     out = []
@@ -76,12 +80,15 @@ def lower(text: str) -> str:
 def odd_forms() -> list[int]:
     """Code points that the library composes, orders or lowers in another way than Python does, or
     whose lower form is in odd_classes."""
-    chars = [chr(p) for p in points() if p >= 128]
-    odd = {c for c, x in zip(chars, _each(normalizers.Lowercase(), chars), strict=True) if lower(c) != x or any(ord(y) in odd_classes() for y in x)}
-    pairs = [unicodedata.normalize("NFD", c) for c in chars if unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<")]
-    # each character alone, and beside a mark of the least and of the greatest class, so that its own class shows
-    for ask, of in ((chars, chars), ([f"a{c}\u0334" for c in chars], chars), ([f"a\u0345{c}" for c in chars], chars), (pairs, pairs)):
-        for t, c, x in zip(ask, of, _each(normalizers.NFC(), ask), strict=True):
-            if unicodedata.normalize("NFC", t) != x:
-                odd.update(c)
+    odd: set[str] = set()
+    own = points()[points() >= 128]
+    for at in range(0, len(own), PART):
+        chars = [chr(p) for p in own[at : at + PART]]
+        odd.update(c for c, x in zip(chars, _each(normalizers.Lowercase(), chars), strict=True) if lower(c) != x or any(ord(y) in odd_classes() for y in x))
+        pairs = [unicodedata.normalize("NFD", c) for c in chars if unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<")]
+        # each character alone, and beside a mark of the least and of the greatest class, so that its own class shows
+        for ask, of in ((chars, chars), ([f"a{c}\u0334" for c in chars], chars), ([f"a\u0345{c}" for c in chars], chars), (pairs, pairs)):
+            for t, c, x in zip(ask, of, _each(normalizers.NFC(), ask) if ask else [], strict=True):
+                if unicodedata.normalize("NFC", t) != x:
+                    odd.update(c)
     return sorted(map(ord, odd))
