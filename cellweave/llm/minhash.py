@@ -276,10 +276,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     bare = reps.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = bare.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(bare.join(sizes, ["band", "key"]), "near-members")
+    # what a bucket's members are joined with is a table first, so that Spark may split the rows of a large bucket
+    members = materialize(bare.join(materialize(sizes, "near-buckets"), ["band", "key"]), "near-members")
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     centres = members.join(degree, "id").groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"))).alias("centre")).select("band", "key", (-F.col("centre.low")).alias("centre"))
-    centred = materialize(members.select("id", "band", "key").join(centres, ["band", "key"]), "near-centred")
+    centred = materialize(members.select("id", "band", "key").join(materialize(centres, "near-centres"), ["band", "key"]), "near-centred")
     discard(members)
     members = centred
     sketch = reps.select("id", "n", "sketch")
@@ -296,7 +297,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = connected_components(links, name="near-star-components")
     apart = members.join(groups, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
     mixed = apart.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    rest = materialize(apart.join(mixed.select("band", "key"), ["band", "key"]).join(sketch, "id"), "near-rest")
+    rest = materialize(apart.join(materialize(mixed.select("band", "key"), "near-mixed"), ["band", "key"]).join(sketch, "id"), "near-rest")
     paired = _blocks(rest).groupBy("bin").applyInPandas(lambda pdf: _with_likely_partner(pdf, percent), "band int, key long, id long")
     paired = materialize(paired.distinct(), "near-paired")
     items = _item_sets(paired.select("id").distinct(), texts, shingle)
