@@ -27,7 +27,7 @@ from .runtime import others, ship, table
 from .token_counts import byte_letters
 
 #: Bytes of text that are encoded at a time; a longer text stands alone.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def _odd() -> tuple[dict[int, str], list[int]]:
@@ -38,7 +38,7 @@ def _odd() -> tuple[dict[int, str], list[int]]:
 class WordEncoder:
     """Encodes texts as a lower-casing word BPE file asks for. odd: from _odd(), to spare a task the work."""
 
-    def __init__(self, path: str, odd: tuple[dict[int, str], list[int]] | None = None, room: int = 400_000):
+    def __init__(self, path: str, odd: tuple[dict[int, str], list[int]] | None = None, room: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
