@@ -9,6 +9,7 @@ from .embeddings import OP1_SQL, op1_embedding_dedup
 from .language import op10_language_id
 from .minhash import OP8_SQL, op8_minhash_dedup
 from .quality import op3_quality
+from .repair import op13_conversation_repair
 from .secret_scan import op7_secret_scans
 from .sharding import op2_sharding
 from .token_counts import op5_token_counts
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op8_minhash_dedup": OP8_SQL}
