@@ -8,6 +8,7 @@ from .decontaminate import op6_decontamination
 from .embeddings import OP1_SQL, op1_embedding_dedup
 from .language import op10_language_id
 from .minhash import OP8_SQL, op8_minhash_dedup
+from .negatives import OP12_SQL, op12_hard_negatives
 from .quality import op3_quality
 from .repair import op13_conversation_repair
 from .secret_scan import op7_secret_scans
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op8_minhash_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op8_minhash_dedup": OP8_SQL, "op12_hard_negatives": OP12_SQL}
