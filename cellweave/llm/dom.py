@@ -34,9 +34,9 @@ _HEADER_WORDS = set("header heading head title headline".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""[\s/]*([^\s=>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
-_SPLIT = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
-#: No node lies deeper; what does is put here.
+#: Elements that may be open at a time; more of them are not told from the one around them.
 DEEPEST = 512
 
 ROOT, CONTAINER, MAIN_TAG, FURNITURE_TAG, HEADER_TAG, HEADING, PROSE_TAG, LIST, TABLE, INLINE, UNSEEN_TAG, TEXT = range(12)
@@ -79,8 +79,6 @@ class Page:
 
     def _node(self, kind: int, hint: int) -> int:
         at = self._at
-        if self.depth[at] >= DEEPEST:
-            at = self.parent[at]
         self.parent.append(at)
         self.kind.append(kind)
         self.hint.append(hint)
@@ -122,6 +120,10 @@ class Page:
             return
         if tag in _ENDS_P:
             self._close({"p"}, _SCOPE)
+        if len(self._open) >= DEEPEST:  # no deeper; its text is that of the element around it
+            if tag in BLOCKS:
+                self._flush()
+            return
         if tag in _CLOSES:
             self._close(*_CLOSES[tag])
         if tag in HEADINGS and self._open and self._open[-1][0] in HEADINGS:

@@ -6,6 +6,7 @@ from .bpe import op9_bpe
 from .chat import OP4_SQL, op4_chat_formatting
 from .decontaminate import op6_decontamination
 from .embeddings import OP1_SQL, op1_embedding_dedup
+from .extract import op11_html_extraction
 from .language import op10_language_id
 from .minhash import OP8_SQL, op8_minhash_dedup
 from .negatives import OP12_SQL, op12_hard_negatives
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
+    "op11_html_extraction": op11_html_extraction,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
 }
