@@ -1,6 +1,8 @@
 """Vectorised text kernels for use inside tasks: word and n-gram hashes of many texts at once.
 
 Hashes come in families that are independent of each other: what one family finds, another confirms.
+A family may take a key. Under a random one, no text can be made to collide with another on purpose,
+so decisions that rest on equal hashes alone take a key of their own in each run.
 
 Every function works on whole texts. Work is cut into slices of about SLICE bytes, so that
 temporary arrays stay small whatever the length of a batch.
@@ -55,14 +57,21 @@ def slices(sizes: Sequence[int], limit: int = SLICE) -> Iterator[tuple[int, int]
         yield start, len(sizes)
 
 
-def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+def _seeds(family: int, key: bytes) -> np.ndarray:
+    """What the hash of a span starts from and what each step multiplies by."""
+    if not key:
+        return _SEEDS[family]
+    return np.frombuffer(hashlib.blake2b(bytes([family]), digest_size=16, key=key).digest(), np.uint64) | np.uint64(1)
+
+
+def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0, key: bytes = b"") -> np.ndarray:
     """A 64-bit hash of the bytes a[start:end] for each span.
 
     The hash starts from the length and takes in eight bytes at a time, each followed by a
     bijective scrambling; so spans of one length up to eight bytes never collide. Long spans are
     hashed one by one.
     """
-    seed, factor = _SEEDS[family]
+    seed, factor = _seeds(family, key)
     n = ends - starts
     h = mix(n.astype(np.uint64) * factor ^ seed)
     lanes = np.ndarray((len(a) + 1,), "<u8", np.append(a, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
@@ -81,7 +90,7 @@ def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int
 class Words:
     """The words of a slice of texts: `hash`, `doc` (index of the text), `start`, `end` in `data`."""
 
-    def __init__(self, texts: Sequence[bytes], separators: np.ndarray = BLANK, fold: np.ndarray | None = LOWER, family: int = 0):
+    def __init__(self, texts: Sequence[bytes], separators: np.ndarray = BLANK, fold: np.ndarray | None = LOWER, family: int = 0, key: bytes = b""):
         blob = b"\n".join(texts) + b"\n"
         a = np.frombuffer(blob, np.uint8)
         self.data = a = fold[a] if fold is not None else a
@@ -92,7 +101,7 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_start = np.concatenate([[0], np.cumsum(lengths)])
         self.doc = np.searchsorted(self.text_start, self.start, "right") - 1
-        self.hash = span_hashes(a, self.start, self.end, family)
+        self.hash = span_hashes(a, self.start, self.end, family, key)
         #: Words of text i are bounds[i]:bounds[i + 1].
         self.bounds = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 

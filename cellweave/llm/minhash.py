@@ -5,8 +5,9 @@ exponentially spaced logarithm of the least of the shingles' exponentially distr
 under the i-th hash. Sketches merge by taking the larger registers, and two sets agree in a
 register about as often as they overlap. Bands of register values give candidates; the joint
 likelihood of the two sketches and the known set sizes estimates the similarity; pairs that may
-reach the threshold are compared on their full sets. Sketches and full sets come from word hashes
-of different families, so a link needs both of two independent 64-bit hashes to agree.
+reach the threshold are compared on their full sets. Full sets hold 64-bit hashes of words under a key
+that is drawn anew in each run, so no texts can be written to collide; sketches, which only choose
+what is compared, have a fixed family of their own.
 
 Groups of copies are never expanded into pairs:
 * equal sets are one representative,
@@ -23,6 +24,7 @@ Groups of copies are never expanded into pairs:
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 SLACK = 8.0
 #: Equal registers that a pair needs to be compared at all; at similarity 0.8 fewer come with probability 4e-5.
 LEAST_EQUAL = 84
-#: Family of the word hashes of full sets; the sketches' is 0.
+#: Family of the word hashes of full sets, under a run's key; the sketches' is 0, without one.
 CONFIRM = 1
 #: Members of a bucket in one block.
 BLOCK = 2048
@@ -101,22 +103,22 @@ def similarity_likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np
     return np.minimum(grid[0, best], most[:, 0]), ll[rows, best] - ll[:, -1]
 
 
-def _sets(texts: list[bytes], k: int, family: int = 0) -> Iterator[np.ndarray]:
+def _sets(texts: list[bytes], k: int, family: int = 0, key: bytes = b"") -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for i, j in slices([len(x) for x in texts], SLICE // 2):
-        w = Words(texts[i:j], BLANK, family=family)
+        w = Words(texts[i:j], BLANK, family=family, key=key)
         for d in range(j - i):
             yield np.unique(shingles(w.hash[w.bounds[d] : w.bounds[d + 1]], k))
 
 
-def _sketches(docs: DataFrame, k: int) -> DataFrame:
+def _sketches(docs: DataFrame, k: int, key: bytes) -> DataFrame:
     """(id, n, set_id, bands, sketch) for each row; set_id and sketch are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             n, set_id, bands, sketch = [], [], [], []
             texts = encoded(batch.column(1))
-            for s, other in zip(_sets(texts, k), _sets(texts, k, CONFIRM), strict=True):
+            for s, other in zip(_sets(texts, k), _sets(texts, k, CONFIRM, key), strict=True):
                 n.append(len(other))
                 if len(other):
                     r = registers(s)
@@ -149,7 +151,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _item_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _item_sets(ids: DataFrame, docs: DataFrame, k: int, key: bytes) -> DataFrame:
     """(id, items): the full shingle sets of the documents with these distinct ids."""
     ids = materialize(ids, "near-candidate-ids")
     few = ids.count() <= BROADCAST_IDS
@@ -157,7 +159,7 @@ def _item_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            values = [s.view(np.int64) for s in _sets(encoded(batch.column(1)), k, CONFIRM)]
+            values = [s.view(np.int64) for s in _sets(encoded(batch.column(1)), k, CONFIRM, key)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "items"])
 
     return materialize(texts.mapInArrow(sets, "id long, items array<long>"), "near-sets")
@@ -227,11 +229,11 @@ def _forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: bytes) -> DataFrame:
     """Of the pairs (a, b), those whose full shingle sets reach the threshold."""
     pairs = materialize(pairs.distinct(), "near-candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    items = _item_sets(ids, docs, k)
+    items = _item_sets(ids, docs, k, key)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -262,9 +264,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     ship(docs.sparkSession)
     whole_number(docs, doc_id)
+    key = os.urandom(16)
     every = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = every.where("id is not null")
-    sketched = materialize(_sketches(every, shingle), "near-sketches")
+    sketched = materialize(_sketches(every, shingle, key), "near-sketches")
     nameless = sketched.where("id is null").select("id", "n")
     sketched = sketched.where("id is not null")
     classes = materialize(sketched.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "near-classes")
@@ -291,7 +294,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pairs.join(a, "a").join(b, "b")
 
     star = members.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    links = materialize(_verified(_likely(with_sketches(star), percent), texts, shingle, percent), "near-links")
+    links = materialize(_verified(_likely(with_sketches(star), percent), texts, shingle, percent, key), "near-links")
 
     # what the stars left apart
     groups = connected_components(links, name="near-star-components")
@@ -300,7 +303,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = materialize(apart.join(materialize(mixed.select("band", "key"), "near-mixed"), ["band", "key"]).join(sketch, "id"), "near-rest")
     paired = _blocks(rest).groupBy("bin").applyInPandas(lambda pdf: _with_likely_partner(pdf, percent), "band int, key long, id long")
     paired = materialize(paired.distinct(), "near-paired")
-    items = _item_sets(paired.select("id").distinct(), texts, shingle)
+    items = _item_sets(paired.select("id").distinct(), texts, shingle, key)
     rest = paired.join(rest.select("band", "key", "id", "component"), ["band", "key", "id"]).join(items, "id")
     more = _blocks(rest).groupBy("bin").applyInPandas(lambda pdf: _forest(pdf, percent), "a long, b long")
 

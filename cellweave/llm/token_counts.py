@@ -19,6 +19,7 @@ Both are exact. Texts are never cut: chunks are joined by their state maps.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -261,6 +262,7 @@ class TokenCounter:
         self.splitter, self.classes = Splitter(), _classes()
         self.known: dict[bytes, int] = {}
         self.room = room
+        self.key = os.urandom(16)  # equal pieces of a slice are found by hash, which no text can foresee
 
     def _stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code points of all texts, each followed by a separator, and the length of each part.
@@ -295,7 +297,7 @@ class TokenCounter:
         real = ~ends_of_parts[first]
         begin, end = at[first[real]], at[last[real]]
         part = np.searchsorted(np.cumsum(lengths), first[real], "right")
-        _, index, inverse = np.unique(span_hashes(a, begin, end), return_index=True, return_inverse=True)
+        _, index, inverse = np.unique(span_hashes(a, begin, end, key=self.key), return_index=True, return_inverse=True)
         known, count = self.known, self.pieces.count
         if len(known) > self.room:
             known.clear()
