@@ -4,9 +4,13 @@ Each pass orders the vectors lexicographically by a key of concatenated random h
 largest coordinate of random projections) and compares every vector with its next neighbours in
 that order, a bounded window. Windows go by a row's place in the order, whatever the partitions.
 Of the verified pairs a task returns a spanning forest, and those of all passes are united to
-groups. The number of passes follows from the number of vectors, so that a pair at the limit is
-missed with a stated probability; the last passes are a check: as long as more than a small share
-of their links join groups that were apart, passes go on.
+groups.
+
+The number of passes follows from the number of vectors, so that a pair at the limit is missed with a
+stated probability if vectors are evenly spread. Then rounds of further passes follow, each judged by
+the pairs of groups that it joins, so by pairs that all passes before had missed: links within groups,
+of which easy copies make up most, don't count. As such joins die away round by round, they tell how
+many are left; rounds go on until that is a small share of all joins of these rounds.
 
 Since a window is bounded, it doesn't count links; so in each group every member is compared with
 every other, in blocks that Spark deals out, and only counts leave a block. Equal vectors are one
@@ -32,9 +36,9 @@ from .runtime import discard, join_hot, materialize, ship, table, whole_number
 DIGITS = (64, 32, 8, 8)
 #: Neighbours in the order of a pass that a vector is compared with at least, and such windows in one block.
 WINDOW, BLOCK_WINDOWS = 128, 64
-#: Probability that all passes miss a pair at the limit among evenly spread vectors, and the share of
-#: its links by which the check may join groups.
-MISS, NEW = 0.001, 0.002
+#: Probability that all passes miss a pair at the limit among evenly spread vectors, and the share of the
+#: joins of further rounds that may be left.
+MISS, LEFT = 0.001, 0.02
 #: Passes whose rows stand on disk at the same time.
 ROUND = 12
 #: Sorted rows in a range partition, and vectors in an Arrow batch.
@@ -169,18 +173,31 @@ def _pass_links(reps: DataFrame, first: int, last: int, least: float, seed: int,
     return links
 
 
-def _joined(groups: DataFrame, links: DataFrame) -> tuple[DataFrame, float]:
-    """groups (id, component) after more links, and the share of these that joined groups."""
+def _joined(groups: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """groups (id, component) after more links, and how many pairs of groups these joined."""
     of = lambda end, out: groups.select(F.col("id").alias(end), F.col("component").alias(out))
     ends = links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-    ends = materialize(ends, "vector-ends")
-    n, new = ends.agg(F.count("*"), F.count_if(F.col("x") != F.col("y"))).first()
+    ends = materialize(ends.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "vector-ends")
+    new = ends.count()
     if not new:
-        return groups, 0.0
+        return groups, 0
     more = connected_components(ends, "x", "y", name="vector-merged")
     grown = groups.join(more.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     fresh = more.join(groups.select("id"), "id", "left_anti").select("id", "component")
-    return materialize(grown.unionByName(fresh), "vector-groups"), new / n
+    return materialize(grown.unionByName(fresh), "vector-groups"), new
+
+
+def settled(joins: list[int]) -> bool:
+    """Whether rounds that joined so many pairs of groups, one after another, leave at most a share LEFT of such joins.
+
+    Joins fall from round to round by the share of pairs that a round misses; what is left is the sum of the rest of that row.
+    """
+    if not joins[-1]:
+        return True
+    if len(joins) < 2:
+        return False
+    falls = min(joins[-1] / max(joins[-2], 1), 0.95)
+    return joins[-1] * falls / (1 - falls) <= LEFT * sum(joins)
 
 
 def _groups(reps: DataFrame, least: float, seed: int, kind: str) -> DataFrame:
@@ -196,9 +213,10 @@ def _groups(reps: DataFrame, least: float, seed: int, kind: str) -> DataFrame:
         found = _pass_links(reps, done, upto, least, seed, kind)
         links, done = found if links is None else links.unionByName(found), upto
     groups = connected_components(links, name="vector-components") if links is not None else reps.select("id", F.col("id").alias("component")).limit(0)
-    new = 1.0
-    while new > NEW:
+    joins: list[int] = []
+    while not joins or not settled(joins):
         groups, new = _joined(groups, _pass_links(reps, done, done + check, least, seed, kind))
+        joins.append(new)
         done += check
     return groups
 
