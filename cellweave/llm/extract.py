@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import dom
 from .kernels import small
-from .runtime import others, ship, table
+from .runtime import others, sample, ship, table
 
 #: Pages that the model is fitted on at most, characters that each of them may have, and composed layouts.
 SAMPLE, SAMPLE_CHARS, LAYOUTS = 300, 20_000, 1200
@@ -377,8 +377,8 @@ def labelled(layouts: list[str]) -> tuple[list[dom.Page], list[np.ndarray]]:
 
 def learn(pages: DataFrame, html: str = "html", seed: int = 17) -> Model:
     """The model, fitted on at most SAMPLE pages of up to SAMPLE_CHARS characters, first by a hash of the row, and LAYOUTS layouts of their texts."""
-    rows = pages.where(F.length(html) <= SAMPLE_CHARS).orderBy(F.xxhash64(*pages.columns), html).limit(SAMPLE).select(html).collect()
-    own = [dom.Page(r[0]) for r in rows]
+    rows = sample(pages.where(F.length(html) <= SAMPLE_CHARS), SAMPLE, *pages.columns).select(html).collect()
+    own = [dom.Page(x) for x in sorted(r[0] for r in rows)]
     marked = []
     if own:
         forest = Forest(own)

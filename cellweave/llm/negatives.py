@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import join_hot, materialize, ship, table, whole_number
+from .runtime import join_hot, materialize, sample, ship, table, whole_number
 
 #: Numbers of a block of candidates, anchors of a block, anchor blocks that meet a block of candidates at a time.
 BLOCK_NUMBERS, ANCHORS, TOGETHER = 1 << 21, 1024, 16
@@ -178,14 +178,14 @@ def _quantised(rows: DataFrame, scale: float, middles: dict) -> DataFrame:
 
 
 def _fit(rows: DataFrame, scale: float) -> dict[int, np.ndarray]:
-    """Centres for each length of vectors, fitted on at most SAMPLE anchors, the first ones by a hash of their id."""
+    """Centres for each length of vectors, fitted on at most SAMPLE anchors, the first ones by a hash."""
     lengths = rows.where("anchor").groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()
     out = {}
     for dim, n in lengths:
         most = max(64, min(SAMPLE, SAMPLE_NUMBERS // dim))
-        sample = rows.where(F.col("anchor") & (F.size("vector") == dim)).orderBy(F.xxhash64("id"), "id").limit(most).select("vector").collect()
+        chosen = sample(rows.where(F.col("anchor") & (F.size("vector") == dim)), most, "id", "vector").select("vector").collect()
         with np.errstate(over="ignore", invalid="ignore"):
-            x = np.floor(scale * np.array([r.vector for r in sample], float))
+            x = np.floor(scale * np.array(sorted(r.vector for r in chosen), float))
             x = x[np.isfinite(x).all(1) & (np.abs(x).max(1) < LONGEST)]
         if len(x):
             out[dim] = centres(x, max(1, min(CENTRES, len(x) // 8)))

@@ -98,6 +98,16 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int
     return left.join(hot.drop("_hot"), on).unionByName(rest.join(right.where(F.col(n) <= limit), on))
 
 
+def sample(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """At most n rows of df, the first ones by a hash of the columns `by`; only as many hashes, not rows, go through the driver.
+
+    Rows with the hash of the last one are equal in `by`; which of them are taken is open.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(*by))
+    last = hashed.select("_h").orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
+    return hashed.where(F.col("_h") <= F.lit(last)).limit(n).drop("_h")
+
+
 def others(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The columns of df that don't clash with these names, by the session's rule of upper and lower case."""
     exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
