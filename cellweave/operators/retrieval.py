@@ -17,7 +17,9 @@ from ..functions.text import tokenize
 from ..functions.vectors import cosine
 
 #: Queries, documents, characters of documents and numbers of vectors in a block at most, on average.
-QUERY_BLOCK, DOC_BLOCK, CHARS_BLOCK, NUMBERS_BLOCK = 8192, 32_768, 16_000_000, 1 << 21
+QUERY_BLOCK, DOC_BLOCK, CHARS_BLOCK, NUMBERS_BLOCK = 8192, 262_144, 32_000_000, 1 << 21
+#: Pivots at most, rows of the kb for each, rows that they are fitted on, and lengths of vectors that get pivots.
+PIVOTS, PIVOT_ROWS, PIVOT_SAMPLE, PIVOT_LENGTHS = 256, 8192, 8192, 8
 #: Queries of a block at least where more blocks give more tasks.
 LEAST_BLOCK = 64
 
@@ -52,13 +54,103 @@ def _all_pairs(left: DataFrame, right: DataFrame, nq: int, nk: int) -> tuple:
     return left.withColumn("y", upto(nk)).groupBy("x", "y").cogroup(right.withColumn("x", upto(nq)).groupBy("x", "y"))
 
 
+class Postings:
+    """The postings of a block of documents: those of a token lie together, greatest part first, and
+    once more in the order of documents, for lookups.
+
+    parts: what a token adds to a document's score; tokens: ends of their postings, by name.
+    """
+
+    def __init__(self, tokens: list[str], n: np.ndarray, doc: np.ndarray, parts: np.ndarray, by_doc: np.ndarray):
+        ends = np.cumsum(n)
+        self.at = {t: (e - c, e) for t, e, c in zip(tokens, ends.tolist(), n.tolist(), strict=True)}
+        self.doc, self.parts = doc, parts
+        self.sorted_doc, self.sorted_parts = doc[by_doc], parts[by_doc]
+        #: Postings that were read or looked up.
+        self.touched = 0
+
+    def _look_up(self, span: tuple[int, int], docs: np.ndarray) -> np.ndarray:
+        """What a token adds to the scores of documents."""
+        i, j = span
+        own = self.sorted_doc[i:j]
+        at = np.minimum(np.searchsorted(own, docs), len(own) - 1)
+        self.touched += len(docs)
+        return np.where(own[at] == docs, self.sorted_parts[i:j][at], 0.0)
+
+    def best(self, tokens: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best documents for these tokens and their scores, rounded to 6 decimals.
+
+        Tokens go by their greatest part, so the rarest first; each brings the documents that hold it
+        and none before it. The k-th best score so far is a floor: a token's list is read as far as its
+        parts reach the floor together with the greatest parts of the tokens after it, and where these
+        don't suffice, the search ends. Of the documents of a list, those that hold the next tokens, too,
+        are scored first, which lifts the floor before the others are looked up any further.
+        """
+        spans = sorted((self.at[t] for t in tokens if t in self.at), key=lambda s: -self.parts[s[0]])
+        most = np.array([self.parts[i] for i, _ in spans])
+        after = np.append(np.cumsum(most[::-1])[::-1], 0.0)
+        docs, scores, floor = np.zeros(0, np.int32), np.zeros(0), 1e-12
+
+        def complete(own: np.ndarray, sums: np.ndarray, n: int, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
+            """Whole scores of documents that have been looked up before token n; those below the floor, or, if narrow, all but some likely ones, are left out."""
+            while n < len(spans):
+                keep = sums + after[n] >= floor
+                own, sums = own[keep], sums[keep]
+                more = self._look_up(spans[n], own)
+                sums, n = sums + more, n + 1
+                if narrow and (more > 0).sum() >= k:
+                    own, sums = own[more > 0], sums[more > 0]
+            return own, sums
+
+        def merge(own: np.ndarray, sums: np.ndarray) -> None:
+            nonlocal docs, scores, floor
+            docs, first = np.unique(np.append(docs, own), return_index=True)
+            scores = np.append(scores, sums)[first]
+            if len(docs) >= k:
+                floor = max(floor, np.partition(scores, -k)[-k] - 2e-6)  # ties are judged by rounded scores
+
+        for n, (i, j) in enumerate(spans):
+            if after[n] < floor:
+                break
+            end = i + int(np.searchsorted(-self.parts[i:j], after[n + 1] - floor + 1e-9, "right"))
+            own, order = np.unique(self.doc[i:end], return_index=True)
+            sums = self.parts[i:end][order]
+            self.touched += end - i
+            new = ~np.isin(own, docs)
+            own, sums = own[new], sums[new]
+            if n + 1 < len(spans):
+                keep = sums + after[n + 1] >= floor
+                own, sums = own[keep], sums[keep]
+                sums = sums + self._look_up(spans[n + 1], own)
+            if len(own) >= k and len(docs) < k:
+                likely = sums >= np.partition(sums, -k)[-k]
+                merge(*complete(own[likely], sums[likely], n + 2, True))
+                left = ~np.isin(own, docs)
+                own, sums = own[left], sums[left]
+            merge(*complete(own, sums, n + 2, False))
+        scores = np.round(scores, 6)
+        near = np.flatnonzero(scores >= (np.partition(scores, -k)[-k] if len(scores) > k else 0))
+        near = near[np.lexsort((docs[near], -scores[near]))[:k]]
+        return docs[near], scores[near]
+
+
+def pack_postings(pdf: pd.DataFrame) -> dict:
+    """Postings(..)'s arguments, and the ids of the documents, from rows (token, id, part)."""
+    ids, doc = np.unique(pdf["id"].to_numpy(), return_inverse=True)
+    names, token = np.unique(pdf["token"].to_numpy().astype(str), return_inverse=True)
+    parts = pdf["part"].to_numpy()
+    order = np.lexsort((doc, -parts, token))
+    doc, token, parts = doc[order].astype(np.int32), token[order], parts[order]
+    return {"ids": ids, "tokens": names.tolist(), "n": np.bincount(token), "doc": doc, "parts": parts, "by_doc": np.lexsort((doc, token)).astype(np.int32)}
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "id", text: str = "name", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, rank, id, score): the k best documents of each query by BM25 over the query's distinct words.
 
     Queries without a shared word get no row. Only postings of words that are asked for count. Queries
-    and documents are cut into blocks; in a pair of blocks each query adds its words' postings up in
-    one array over the block's documents, and only its k best leave. So a frequent word costs its
-    postings, and no row for each query and document that share it. Scores are rounded to 6 decimals.
+    and documents are cut into blocks; in a pair of blocks each query reads the beginnings of its
+    rarer words' lists, ordered by what they add to a score, as far as they can reach its k best
+    (Postings), and only these leave. Scores are rounded to 6 decimals.
     """
     tf, df, size = corpus_stats(docs, doc_id, text)
     words = queries.select("qid", F.explode(F.array_distinct(tokenize("text"))).alias("token"))
@@ -76,36 +168,24 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "id", t
         return pd.DataFrame({"x": pdf["x"].iloc[:1], "qids": [pdf["qid"].to_numpy()], "tokens": ["\n".join(pdf["token"])]})
 
     def pack_docs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["token", "id"])
-        ids, doc = np.unique(pdf["id"].to_numpy(), return_inverse=True)
-        tokens, n = np.unique(pdf["token"].to_numpy().astype(str), return_counts=True)
-        return pd.DataFrame({"y": pdf["y"].iloc[:1], "ids": [ids], "tokens": ["\n".join(tokens)], "n": [n], "doc": [doc.astype(np.int32)], "parts": [pdf["part"].to_numpy()]})
+        packed = pack_postings(pdf)
+        return pd.DataFrame({"y": pdf["y"].iloc[:1], **{name: ["\n".join(x) if name == "tokens" else x] for name, x in packed.items()}})
 
     q = words.withColumn("x", _block("qid", nq)).groupBy("x").applyInPandas(pack_queries, f"x long, qids array<{qid_type}>, tokens string")
-    d = postings.withColumn("y", _block("id", nk)).groupBy("y").applyInPandas(pack_docs, f"y long, ids array<{id_type}>, tokens string, n array<long>, doc array<int>, parts array<double>")
+    d = postings.withColumn("y", _block("id", nk)).groupBy("y").applyInPandas(pack_docs, f"y long, ids array<{id_type}>, tokens string, n array<long>, doc array<int>, parts array<double>, by_doc array<int>")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"qid": [], "id": [], "score": []}
         if len(left) and len(right):
             qids, asked = left["qids"].iloc[0], left["tokens"].iloc[0].split("\n")
-            ids, n, doc, parts = (np.asarray(right[c].iloc[0]) for c in ("ids", "n", "doc", "parts"))
-            ends = np.cumsum(n)
-            at = {t: (e - c, e) for t, e, c in zip(right["tokens"].iloc[0].split("\n"), ends.tolist(), n.tolist(), strict=True)}
-            scores = np.zeros(len(ids))
+            ids, n, doc, parts, by_doc = (np.asarray(right[c].iloc[0]) for c in ("ids", "n", "doc", "parts", "by_doc"))
+            block = Postings(right["tokens"].iloc[0].split("\n"), n, doc, parts, by_doc)
             first = [0, *(i for i in range(1, len(qids)) if qids[i] != qids[i - 1]), len(qids)]
             for a, e in zip(first, first[1:]):
-                scores[:] = 0
-                for t in asked[a:e]:
-                    i, j = at.get(t, (0, 0))
-                    scores[doc[i:j]] += parts[i:j]
-                rounded = np.round(scores, 6)
-                least = np.partition(rounded, -k)[-k] if len(rounded) > k else 0.0
-                # a shared word always scores above 0, so 0 stands for none
-                near = np.flatnonzero((rounded >= least) & (scores > 0))
-                near = near[np.lexsort((near, -rounded[near]))[:k]]
+                near, scores = block.best(asked[a:e], k)
                 out["qid"] += [qids[a]] * len(near)
                 out["id"] += ids[near].tolist()
-                out["score"] += rounded[near].tolist()
+                out["score"] += scores.tolist()
         return pd.DataFrame(out)
 
     found = _all_pairs(q, d, nq, nk).applyInPandas(search, f"qid {qid_type}, id {id_type}, score double")
@@ -123,54 +203,185 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], np.take_along_axis(scores, order, 1)
 
 
-def knn_topk(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector") -> DataFrame:
-    """(qid, rank, id, score): exact cosine top-k of queries(qid, vector) in kb(id, vector) (R2).
+def _whole(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
+    """(key, v, dim, single, ..): rows with a key and a vector that isn't empty and whose numbers are all finite."""
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    v = F.col(vector).cast(f"array<{'float' if single else 'double'}>")
+    good = F.col("key").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.select(F.col(key).alias("key"), v.alias("v"), *more).where(F.coalesce(good, F.lit(False)))
+    return rows.withColumn("dim", F.size("v")).withColumn("single", F.lit(single))
 
-    Both sides are cut into blocks by hash and packed, floats as floats; every block of queries meets
-    every one of the kb, and the k best of each query and block are merged. Scores are computed in
-    double precision and rounded to 9 decimals, ties go to the lesser id.
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def fit_pivots(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """Pivots (unit vectors) for each of the commonest lengths of vectors of rows (key, v, dim): one for PIVOT_ROWS of n rows, PIVOTS at most.
+
+    They only say which vectors lie together. They are fitted by k-means on at most PIVOT_SAMPLE rows, the first by hash.
     """
-    numbers = kb.agg(F.coalesce(F.sum(F.size(vector).cast("long")), F.lit(0))).first()[0]
-    nk = max(1, math.ceil(numbers / NUMBERS_BLOCK))
-    nq = _query_blocks(queries, nk)
-    qid_type, id_type = queries.schema["qid"].dataType.simpleString(), kb.schema["id"].dataType.simpleString()
+    if n < 2 * PIVOT_ROWS:
+        return {}
+    out = {}
+    for dim, own in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(PIVOT_LENGTHS).collect():
+        most = max(PIVOTS, min(PIVOT_SAMPLE, NUMBERS_BLOCK // dim))
+        hashed = rows.where(F.col("dim") == dim).withColumn("h", F.xxhash64("key"))
+        last = hashed.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+        x = _unit(np.array(sorted(r.v for r in hashed.where(F.col("h") <= F.lit(last)).limit(most).collect()), float))
+        out[dim] = kmeans(x, max(1, min(PIVOTS, own // PIVOT_ROWS, len(x) // 4)))
+    return out
 
-    def packed(df: DataFrame, key: str, axis: str, n: int) -> DataFrame:
-        single = df.schema[vector].dataType.simpleString() == "array<float>"
-        kind = "<f4" if single else "<f8"
 
-        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("key")
-            return pd.DataFrame({axis: pdf[axis].iloc[:1], f"{axis}_keys": [pdf["key"].to_numpy()], f"{axis}_vectors": [np.stack(pdf["v"].to_numpy()).astype(kind).tobytes()], f"{axis}_kind": [kind]})
+def kmeans(x: np.ndarray, k: int, rounds: int = 10, unit: bool = True) -> np.ndarray:
+    """k means of the rows of x (on the sphere if `unit`), from rows picked at random."""
+    out = x[np.random.Generator(np.random.PCG64(11)).permutation(len(x))[:k]].copy()
+    for _ in range(rounds):
+        own = nearest(x, out)
+        sums, n = np.zeros_like(out), np.bincount(own, minlength=len(out))[:, None]
+        np.add.at(sums, own, x)
+        out = np.where(n > 0, sums / np.maximum(n, 1), out)
+        if unit:
+            out = _unit(out)
+    return out
 
-        rows = df.select(F.col(key).alias("key"), F.col(vector).cast(f"array<{'float' if single else 'double'}>").alias("v"), _block(key, n).alias(axis))
-        return rows.groupBy(axis).applyInPandas(pack, f"{axis} long, {axis}_keys array<{df.schema[key].dataType.simpleString()}>, {axis}_vectors binary, {axis}_kind string")
 
-    def block(pdf: pd.DataFrame, axis: str) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.asarray(pdf[f"{axis}_keys"].iloc[0])
-        v = np.frombuffer(pdf[f"{axis}_vectors"].iloc[0], pdf[f"{axis}_kind"].iloc[0]).astype(float).reshape(len(keys), -1)
-        return keys, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+def nearest(x: np.ndarray, middles: np.ndarray) -> np.ndarray:
+    """The number of the middle that is nearest to each row of x."""
+    return (x @ middles.T - (middles * middles).sum(1) / 2).argmax(1)
+
+
+def _vector_blocks(rows: DataFrame, axis: str, pivots: dict[int, np.ndarray], per: int, key_type: str) -> DataFrame:
+    """rows (key, v, dim, single, level) packed by their nearest pivot in parts of about `per` numbers, one row for each:
+    name, keys, levels, vectors, centre and the angle around it that holds all of them."""
+
+    @F.pandas_udf("int")
+    def cell(column: pd.Series, dim: pd.Series) -> pd.Series:
+        out = np.zeros(len(column), np.int32)
+        for d in set(dim.tolist()) & set(pivots):
+            at = np.flatnonzero(dim == d)
+            out[at] = (np.stack(column.iloc[at].to_numpy()).astype(float) @ pivots[d].T).argmax(1)
+        return pd.Series(out)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["level", "key"])
+        kind = "<f4" if pdf["single"].iloc[0] else "<f8"
+        v = np.stack(pdf["v"].to_numpy()).astype(kind)
+        u = _unit(v.astype(float))
+        centre = _unit(u.mean(0, keepdims=True))[0]
+        radius = float(np.arccos(np.clip(u @ centre, -1, 1)).max()) + 1e-7
+        if (np.abs(v).max(1) == 0).any() or not np.abs(centre).max():
+            radius = math.pi  # a zero vector has no direction
+        first = pdf.iloc[0]
+        return pd.DataFrame({axis: [f"{first['dim']}:{first['cell']}:{first['part']}"], "dim": [first["dim"]], f"{axis}_n": [len(pdf)], f"{axis}_keys": [pdf["key"].to_numpy()], f"{axis}_levels": [pdf["level"].to_numpy(np.int32)], f"{axis}_vectors": [v.tobytes()], f"{axis}_kind": [kind], f"{axis}_centre": [centre], f"{axis}_radius": [radius]})
+
+    celled = rows.withColumn("cell", cell("v", "dim") if pivots else F.lit(0))
+    sizes = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") * F.col("dim") / per).alias("parts"))
+    dealt = celled.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
+    return dealt.groupBy("dim", "cell", "part").applyInPandas(pack, f"{axis} string, dim int, {axis}_n long, {axis}_keys array<{key_type}>, {axis}_levels array<int>, {axis}_vectors binary, {axis}_kind string, {axis}_centre array<double>, {axis}_radius double")
+
+
+class CosineSearch:
+    """Exact cosine top-k of queries(qid, vector) in kb(id, vector), by blocks of neighbours.
+
+    Both sides are cut into blocks around the kb's pivots, each with a centre and the angle that
+    holds its vectors; so no score of a pair of blocks exceeds the cosine of the angle between the
+    centres less both of these. Each block of queries meets the nearest blocks of the kb first. Its
+    k-th scores are floors; of the other blocks it only meets those whose bound reaches the least of them.
+    """
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": [], "id": [], "score": []})]
-        if len(left) and len(right):
-            (qids, a), (ids, b) = block(left, "x"), block(right, "y")
-            for at in range(0, len(a), 128):
-                found, score = _top(np.round(a[at : at + 128] @ b.T, 9), ids, k)
-                out.append(pd.DataFrame({"qid": np.repeat(qids[at : at + 128], found.shape[1]), "id": found.ravel(), "score": score.ravel()}))
-        return pd.concat(out[1:] or out)
+    def __init__(self, queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector", level: str | None = None):
+        self.k = k
+        self.types = queries.schema["qid"].dataType.simpleString(), kb.schema["id"].dataType.simpleString()
+        rows = _whole(kb, "id", vector, (F.lit(0) if level is None else F.col(level)).cast("int").alias("level"))
+        asked = _whole(queries, "qid", vector, F.lit(0).alias("level"))
+        n, numbers = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("dim").cast("long")), F.lit(0))).first()
+        pivots = {} if level is not None else fit_pivots(rows, n)
+        nk = max(1, math.ceil(numbers / NUMBERS_BLOCK))
+        nq = _query_blocks(asked, nk)
+        total = asked.agg(F.coalesce(F.sum(F.col("dim").cast("long")), F.lit(0))).first()[0]
+        self.x = _vector_blocks(asked, "x", pivots, max(1, math.ceil(total / nq)), self.types[0])
+        self.y = _vector_blocks(rows, "y", pivots, NUMBERS_BLOCK, self.types[1])
+        #: Whether blocks are told apart by direction, so that bounds can leave some out.
+        self.pruned = bool(pivots) and level is None
+
+    def pairs(self) -> DataFrame:
+        """(x, y, y_n, bound): all pairs of blocks and what their scores can't exceed; one row for each pair."""
+        angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.aggregate(F.zip_with("x_centre", "y_centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))))
+        left, right = self.x.select("x", "dim", "x_centre", "x_radius"), self.y.select("y", "dim", "y_n", "y_centre", "y_radius")
+        return left.join(right, "dim").select("x", "y", "y_n", (F.cos(F.greatest(F.lit(0.0), angle - F.col("x_radius") - F.col("y_radius"))) + 1e-9).alias("bound"))
+
+    def meet(self, pairs: DataFrame, levels: Sequence[int] = (0,)) -> DataFrame:
+        """(x, level, qid, id, score): the k best of each query, pair of blocks and level; a level holds the rows up to it."""
+        k = self.k
+
+        def block(pdf: pd.DataFrame, axis: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys = np.asarray(pdf[f"{axis}_keys"].iloc[0])
+            v = np.frombuffer(pdf[f"{axis}_vectors"].iloc[0], pdf[f"{axis}_kind"].iloc[0]).astype(float).reshape(len(keys), -1)
+            return keys, np.asarray(pdf[f"{axis}_levels"].iloc[0]), _unit(v)
+
+        def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"x": [], "level": [], "qid": [], "id": [], "score": []})]
+            if len(left) and len(right):
+                (qids, _, a), (ids, own, b) = block(left, "x"), block(right, "y")
+                for at in range(0, len(a), 128):
+                    scores = np.round(a[at : at + 128] @ b.T, 9)
+                    for level in levels:
+                        n = int(np.searchsorted(own, level, "right"))
+                        if n:
+                            order = np.argsort(ids[:n], kind="stable")
+                            found, score = _top(scores[:, :n][:, order], ids[:n][order], k)
+                            out.append(pd.DataFrame({"x": left["x"].iloc[0], "level": level, "qid": np.repeat(qids[at : at + 128], found.shape[1]), "id": found.ravel(), "score": score.ravel()}))
+            return pd.concat(out[1:] or out)
+
+        left = pairs.select("x", "y").join(self.x, "x").groupBy("x", "y")
+        right = pairs.select(F.col("x").alias("x"), F.col("y").alias("y")).join(self.y.drop("dim"), "y").groupBy("x", "y")
+        return left.cogroup(right).applyInPandas(search, f"x string, level int, qid {self.types[0]}, id {self.types[1]}, score double")
+
+    def first_pairs(self, pairs: DataFrame) -> DataFrame:
+        """Of each block of queries the pairs with the greatest bounds, as many as it takes for k rows."""
+        order = Window.partitionBy("x").orderBy(F.desc("bound"), "y")
+        before = F.coalesce(F.sum("y_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return pairs.withColumn("_before", before).where(F.col("_before") < self.k).drop("_before")
+
+    def further_pairs(self, pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+        """The other pairs whose bound reaches the least k-th score that their queries have in seeds."""
+        kth = seeds.groupBy("x", "qid").agg(F.when(F.count("*") >= self.k, F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(self.k - 1))).alias("kth"))
+        need = kth.groupBy("x").agg(F.min(F.coalesce("kth", F.lit(-2.0))).alias("need"))
+        rest = pairs.join(self.first_pairs(pairs).select(F.col("x").alias("x"), F.col("y").alias("y")), ["x", "y"], "left_anti")
+        return rest.join(need, "x", "left").where(F.col("bound") >= F.coalesce("need", F.lit(-2.0))).drop("need")
+
+    def run(self) -> DataFrame:
+        pairs = self.pairs()
+        if not self.pruned:
+            return self.meet(pairs)
+        seeds = self.meet(self.first_pairs(pairs))
+        return seeds.unionByName(self.meet(self.further_pairs(pairs, seeds)))
+
+
+def knn_topk(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vector") -> DataFrame:
+    """(qid, rank, id, score): exact cosine top-k of queries(qid, vector) in kb(id, vector) (R2), by CosineSearch.
 
-    pairs = _all_pairs(packed(queries, "qid", "x", nq), packed(kb, "id", "y", nk), nq, nk)
-    return rank_candidates(pairs.applyInPandas(search, f"qid {qid_type}, id {id_type}, score double"), k=k).select("qid", "rank", "id", "score")
+    Scores are computed in double precision and rounded to 9 decimals, ties go to the lesser id; a
+    zero vector has score 0 with all. Rows without a key, and vectors that are null or empty or hold
+    a null, NaN or infinite number, take no part; vectors of different lengths have no score.
+    """
+    found = CosineSearch(queries, kb, k, vector).run()
+    return rank_candidates(found, k=k).select("qid", "rank", "id", "score")
 
 
 def knn_by_scale(queries: DataFrame, kb: DataFrame, subsets: DataFrame, scales: Sequence[int], k: int) -> DataFrame:
-    """(scale, qid, rank, id, score): the exact search in each subset(scale, id) of kb (R14). Cutting one deep search would lose rows."""
-    out = None
-    for scale in scales:
-        found = knn_topk(queries, kb.join(subsets.where(F.col("scale") == scale), "id", "left_semi"), k).select(F.lit(scale).alias("scale"), "*")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """(scale, qid, rank, id, score): the exact search in each subset(scale, id) of kb.
+
+    Subsets are nested: what is in one of the scales is in all greater ones. So an entity carries
+    the first scale that holds it, the kb is read once, and the k best of every scale are kept.
+    """
+    scales = sorted(scales)
+    first = subsets.where(F.col("scale").isin(*scales)).groupBy("id").agg(F.min("scale").cast("int").alias("_scale"))
+    search = CosineSearch(queries, kb.join(first, "id"), k, level="_scale")
+    found = search.meet(search.pairs(), scales)
+    rank = F.row_number().over(Window.partitionBy("level", "qid").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("level").alias("scale"), "qid", "rank", "id", "score")
 
 
 def dump_topk(cands: DataFrame, k: int = 5) -> DataFrame:
@@ -185,8 +396,10 @@ def knn_topk_lsh(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vecto
 
     bits: hyperplanes of a bucket; by default so many that a bucket holds about 256 of the kb, 5 at
     least. With more than 5 a query also asks the buckets across its nearest hyperplanes, one for
-    each bit beyond, so that longer keys lose few neighbours. Every vector is indexed.
+    each bit beyond, so that longer keys lose few neighbours. Every vector is indexed; what knn_topk leaves out is left out here, too.
     """
+    queries = _whole(queries, "qid", vector).select(F.col("key").alias("qid"), F.col("v").alias(vector))
+    kb = _whole(kb, "id", vector).select(F.col("key").alias("id"), F.col("v").alias(vector))
     if bits is None:
         bits = min(max(5, round(math.log2(max(kb.count(), 1) / 256))), 24)
     flips = bits - 5
@@ -194,16 +407,22 @@ def knn_topk_lsh(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vecto
     def buckets(probe: bool):
         @F.pandas_udf("array<long>")
         def run(column: pd.Series) -> pd.Series:
-            x = np.stack(column.to_numpy()).astype(float)
-            planes = np.random.Generator(np.random.PCG64([seed, x.shape[1]])).standard_normal((x.shape[1], tables * bits))
-            side = (x @ planes).reshape(len(x), tables, bits)
-            keys = ((side > 0) << np.arange(bits)).sum(2)
-            if probe and flips:
-                near = np.argsort(np.abs(side), axis=2)[:, :, :flips]
-                keys = np.concatenate([keys[:, :, None], keys[:, :, None] ^ (1 << near)], axis=2)
-            else:
-                keys = keys[:, :, None]
-            return pd.Series(list((keys + (np.arange(tables) << bits)[None, :, None]).reshape(len(x), -1)))
+            out, size = [None] * len(column), column.map(len).to_numpy()
+            for dim in np.unique(size):  # vectors of different lengths share no bucket
+                at = np.flatnonzero(size == dim)
+                x = np.stack(column.iloc[at].to_numpy()).astype(float)
+                planes = np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((dim, tables * bits))
+                side = (x @ planes).reshape(len(x), tables, bits)
+                keys = ((side > 0) << np.arange(bits)).sum(2)
+                if probe and flips:
+                    near = np.argsort(np.abs(side), axis=2)[:, :, :flips]
+                    keys = np.concatenate([keys[:, :, None], keys[:, :, None] ^ (1 << near)], axis=2)
+                else:
+                    keys = keys[:, :, None]
+                keys = (keys + (np.arange(tables) + tables * dim << bits)[None, :, None]).reshape(len(x), -1)
+                for i, own in zip(at, keys):
+                    out[i] = own
+            return pd.Series(out)
 
         return run
 
