@@ -110,7 +110,7 @@ def cluster_stats(df: DataFrame, cluster: str) -> DataFrame:
 def _placed(df: DataFrame, value: str, by: str) -> DataFrame:
     """(by, v, c, _upto, _total): distinct values, how often each occurs, and running counts."""
     counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    return running(counts, ["v"], [by], "c")
+    return running(counts, ["v"], [by], "c", seen=df.select(F.col(value).alias("v")))
 
 
 def _at(index: Column) -> Column:
@@ -220,10 +220,28 @@ def scale_table(ranked: DataFrame, scale: str = "scale") -> DataFrame:
     return out.crossJoin(F.broadcast(first)).withColumn("drop", F.round((F.col("_first") - F.col("accuracy")) * 100, 4)).drop("_first")
 
 
-def best_run(epochs: DataFrame, by: str) -> DataFrame:
-    """The epoch of each run with the best (ned, name, -loss), values rounded to 8 decimals; ties go to the earlier one."""
-    order = F.struct(F.round("ned", 8), F.round("name", 8), -F.round("loss", 8), -F.col("epoch"))
-    return epochs.groupBy(by).agg(F.max_by(F.struct("epoch", "ned", "name", "loss"), order).alias("b")).select(by, "b.*")
+def best_run(epochs: DataFrame, by: str, measures: Sequence[str] = ("ned", "name", "loss"), tolerance: float = 1e-8) -> DataFrame:
+    """(by, epoch, measures..): the epoch of each run that is kept when its epochs are looked at in order.
+
+    An epoch replaces the best so far if its first measure is lower by more than the tolerance, or
+    within it and the next measure is lower, and so on. So a slow drift within the tolerance replaces
+    nothing, and the result depends on the order. measures=("loss",) selects by the loss alone. A null
+    or NaN measure is never lower; a run without any number keeps no epoch (null).
+    """
+    fields = ", ".join(f"{m} double" for m in measures)
+    epoch_type = epochs.schema["epoch"].dataType.simpleString()
+    start = F.from_json(F.lit("{}"), f"epoch {epoch_type}, {fields}")
+    rows = F.array_sort(F.collect_list(F.struct("epoch", *(F.col(m).cast("double").alias(m) for m in measures))))
+
+    def step(best: Column, row: Column) -> Column:
+        better, level = F.lit(False), F.lit(True)
+        for m in measures:
+            b = F.coalesce(best[m], F.lit(float("inf")))
+            better = better | (level & F.coalesce(row[m] < b - tolerance, F.lit(False)))
+            level = level & F.coalesce(F.abs(row[m] - b) <= tolerance, F.lit(False))
+        return F.when(better, row).otherwise(best)
+
+    return epochs.groupBy(by).agg(F.aggregate(rows, start, step).alias("b")).select(by, "b.*")
 
 
 def audit_epochs(steps: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, cell_at, expand_property, last_segment, normalize_entity_id, row_text, ser_bracket, ser_bracket_entity, strip
@@ -153,13 +155,26 @@ def row_neighbours(cells: DataFrame, keys: Sequence[str], pos: str = "col", text
     return cells.join(whole, list(keys)).withColumn("neighbours", F.transform(F.filter("_all", lambda c: c[pos] != F.col(pos)), lambda c: c[text])).drop("_all")
 
 
-def column_neighbours(mentions: DataFrame, cells: DataFrame) -> DataFrame:
-    """(table_id, row, col, n_row, n_text): for each of mentions(table_id, row, col, text) the data cells of its column,
-    itself included if it is one; itself alone if there are none (J12). One row for each neighbour, so no column stands in one row."""
-    data = cells.where("row >= 0").select("table_id", "col", F.col("row").alias("n_row"), F.col("text").alias("n_text"))
-    joined = mentions.join(data, ["table_id", "col"], "left")
-    alone = F.col("n_row").isNull()
-    return joined.select("table_id", "row", "col", F.coalesce("n_row", "row").alias("n_row"), F.when(alone, F.col("text")).otherwise(F.col("n_text")).alias("n_text"))
+#: Rows of a table in one part of a stored column.
+COLUMN_PART = 4096
+
+
+def column_store(cells: DataFrame) -> DataFrame:
+    """(table_id, col, part, cells): the data cells (row, text) of each column once, in parts of COLUMN_PART rows, in order.
+
+    A mention points to its column by table_id and col; so contexts take as much room as the cells,
+    however many mentions share a column.
+    """
+    data = cells.where("row >= 0").withColumn("part", F.floor(F.col("row") / COLUMN_PART).cast("long"))
+    return data.groupBy("table_id", "col", "part").agg(F.array_sort(F.collect_list(F.struct("row", "text"))).alias("cells"))
+
+
+def column_neighbours(mentions: DataFrame, store: DataFrame) -> DataFrame:
+    """(table_id, row, col, n_row, n_text): a view of column_store that expands, for each of mentions(table_id, row, col, text),
+    the data cells of its column, itself included if it is one; itself alone if there are none (J12)."""
+    joined = mentions.join(store, ["table_id", "col"], "left").select("table_id", "row", "col", "text", F.explode_outer("cells").alias("n"))
+    alone = F.col("n").isNull()
+    return joined.select("table_id", "row", "col", F.coalesce("n.row", "row").alias("n_row"), F.when(alone, F.col("text")).otherwise(F.col("n.text")).alias("n_text"))
 
 
 def extract_cells(tables: DataFrame, labels: DataFrame, row_context: bool = False) -> DataFrame:
@@ -202,10 +217,43 @@ def serialize_rows(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", part.alias("p")))), lambda c: c["p"]), " | ").alias("row_text"))
 
 
+#: Parts that a key's partial sums are dealt to before they are added up for good.
+TREE = 16
+
+
 def mean_vector(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """(keys.., vector): the element-wise mean (A12, G1, G2, X4). Partial sums per task keep hot keys from one task."""
-    parts = df.select(*keys, F.posexplode(vector).alias("_dim", "_x")).groupBy(*keys, "_dim").agg(F.avg("_x").alias("_x"))
-    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_x"))), lambda s: s["_x"]).alias(vector))
+    """(keys.., vector): the element-wise mean.
+
+    Each Arrow batch gives one row of sums and counts for each of its keys; these are added up in two
+    steps, so no task gets all rows of a hot key. A place that is null, NaN or beyond the end of a
+    vector doesn't count there; null vectors count nowhere, and a key with no other has no row.
+    """
+    keys = list(keys)
+    rows = df.select(*(F.col(k) for k in keys), F.col(vector).cast("array<double>").alias("_v")).where("_v is not null")
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _sums array<double>, _n array<double>"
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            size = pdf["_v"].map(len).to_numpy()
+            x = np.full((len(pdf), size.max(initial=0)), np.nan)
+            x[np.arange(x.shape[1]) < size[:, None]] = np.concatenate([np.asarray(v, float) for v in pdf["_v"]])
+            own = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            first = np.unique(own, return_index=True)[1]
+            sums, n = np.zeros((len(first), x.shape[1])), np.zeros((len(first), x.shape[1]))
+            np.add.at(sums, own, np.nan_to_num(x, nan=0.0))
+            np.add.at(n, own, ~np.isnan(x))
+            yield pdf[keys].iloc[first].reset_index(drop=True).assign(_sums=list(sums), _n=list(n))
+
+    def added(column: str) -> Column:
+        plus = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+        return F.reduce(F.collect_list(column), F.array().cast("array<double>"), plus).alias(column)
+
+    parts = rows.mapInPandas(partial, schema).withColumn("_part", F.pmod(F.xxhash64("_sums"), F.lit(TREE)))
+    parts = parts.groupBy(*keys, "_part").agg(added("_sums"), added("_n"))
+    total = parts.groupBy(*keys).agg(added("_sums"), added("_n"))
+    return total.select(*keys, F.zip_with("_sums", "_n", lambda s, n: F.when(n > 0, s / n)).alias(vector))
 
 
 def structure_mix(cells: DataFrame, vector: str, gate: float, alpha: float) -> DataFrame:

@@ -6,6 +6,7 @@ Long tables throughout: kb(id, name, pos, ...), queries(qid, text or vector), ca
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -434,16 +435,24 @@ def knn_topk_lsh(queries: DataFrame, kb: DataFrame, k: int, vector: str = "vecto
 
 
 def hashed_grams(dim: int = 256, n: int = 3) -> Callable[[list[str]], np.ndarray]:
-    """The default encoder: counts of hashed character n-grams, of length 1."""
+    """The default encoder: counts of character n-grams of ` text `, lowered, by the CRC-32 of their bytes, of length 1.
 
-    def encode(texts: list[str]) -> np.ndarray:
-        import zlib
+    A checksum of n bytes is a sum (without carry) of what each byte adds at its place, so all
+    n-grams of many texts are looked up at once.
+    """
+    zero = zlib.crc32(bytes(n))
+    places = [np.array([zlib.crc32(bytes(j) + bytes([b]) + bytes(n - 1 - j)) ^ zero for b in range(256)], np.uint32) for j in range(n)]
 
+    def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
         for i, t in enumerate(texts):
-            t = f" {t.lower()} ".encode()
-            for j in range(len(t) - n + 1):
-                out[i, zlib.crc32(t[j : j + n]) % dim] += 1
+            t = np.frombuffer(f" {t.lower()} ".encode(), np.uint8)
+            m = len(t) - n + 1
+            if m > 0:
+                grams = np.full(m, zero, np.uint32)
+                for j, place in enumerate(places):
+                    grams ^= place[t[j : j + m]]
+                out[i] = np.bincount(grams % np.uint32(dim), minlength=dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return encode
@@ -462,6 +471,28 @@ def embed(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray] |
     return df.join(distinct.withColumn(out, run(F.col(text))), text, "left")
 
 
+def embed_stored(df: DataFrame, text: str, path: str, encoder: Callable[[list[str]], np.ndarray] | None = None, out: str = "vector") -> DataFrame:
+    """embed with a table below path that keeps the vector of each text by its digest: only texts that it lacks are encoded.
+
+    New vectors are appended in one write before the result is read, so a run that fails leaves
+    whole rows of earlier runs alone. The table belongs to one encoder.
+    """
+    spark = df.sparkSession
+    own = df.withColumn("_digest", F.unhex(F.sha2(F.col(text), 256)))
+    texts = own.where(F.col(text).isNotNull()).select("_digest", F.col(text).alias("_text")).dropDuplicates(["_digest"])
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+    if known is not None:
+        texts = texts.join(known.select("_digest"), "_digest", "left_anti")
+    if not texts.isEmpty():
+        embed(texts, "_text", encoder, "_vector").select("_digest", "_vector").write.mode("append").parquet(path)
+    elif known is None:
+        return df.withColumn(out, F.lit(None).cast("array<float>"))
+    # two runs at once may both have stored a text
+    stored = spark.read.parquet(path).dropDuplicates(["_digest"])
+    return own.join(stored.withColumnRenamed("_vector", out), "_digest", "left").drop("_digest")
+
+
 def texts_to_encode(*columns: tuple[DataFrame, str], out: str = "text") -> DataFrame:
     """(text): the distinct texts of columns (df, name) of any tables, so that each is encoded once."""
     rows = None
@@ -554,6 +585,9 @@ def context_vector(cands: DataFrame, kb: DataFrame, k: int = 3, vector: str = "v
     shifted = F.exp(F.col("score") - F.max("score").over(own))
     top = top.withColumn("_e", shifted)
     weight = F.col("_e") / F.sum("_e").over(own)
-    parts = top.withColumn("_w", weight).join(kb.select("id", vector), "id").select("qid", "_w", F.posexplode(vector).alias("dim", "x"))
-    sums = parts.groupBy("qid", "dim").agg(F.sum(F.col("_w") * F.col("x")).alias("x"))
-    return sums.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias(vector))
+    parts = top.withColumn("_w", weight).join(kb.select("id", vector), "id")
+    weighted = F.transform(vector, lambda x: x.cast("double") * F.col("_w"))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+    # k rows for each query, so a query's vectors are one bounded list
+    rows = parts.select("qid", "rank", weighted.alias("_v")).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "_v"))).alias("_v"))
+    return rows.select("qid", F.reduce("_v", F.array().cast("array<double>"), lambda s, r: plus(s, r["_v"])).alias(vector))

@@ -76,7 +76,7 @@ def column_neighbours(spark, d):
     second = F.col("p_partkey") % 4 == 0
     header = second & (F.col("p_size") % 3 > 0)
     cells = _t(spark, d, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("table_id"), F.when(second, 1).otherwise(0).alias("col"), F.when(header, -1).otherwise(F.col("p_partkey")).alias("row"), "p_partkey", F.col("p_name").alias("text"))
-    return M.column_neighbours(cells.select("table_id", F.col("p_partkey").alias("row"), "col", "text"), cells.drop("p_partkey"))
+    return M.column_neighbours(cells.select("table_id", F.col("p_partkey").alias("row"), "col", "text"), M.column_store(cells.drop("p_partkey")))
 
 
 @_query("""SELECT DISTINCT l_orderkey AS table_id, l_linenumber AS cell, cast(l_linenumber % 2 = 1 AS int) AS entity_mask FROM lineitem""")

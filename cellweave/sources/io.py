@@ -187,12 +187,19 @@ def load_index(spark: SparkSession, path: str, vector: str = "vector", count: in
 
 
 def save_candidates(cands: DataFrame, queries: DataFrame, path: str) -> None:
-    """Candidates as a long table; an error if they name a query that isn't there, or if a query has none."""
+    """Candidates as a long table; a query without any is a row of its own, without a rank.
+
+    An error if candidates name a query that isn't there.
+    """
     if not cands.join(queries, "qid", "left_anti").isEmpty():
         raise ValueError("candidates of unknown queries")
-    if not queries.join(cands, "qid", "left_anti").isEmpty():
-        raise ValueError("queries without candidates")
-    cands.write.mode("overwrite").parquet(path)
+    queries.select("qid").distinct().join(cands, "qid", "left").select(*cands.columns).write.mode("overwrite").parquet(path)
+
+
+def read_candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Stored candidates, and all queries (qid) that the table was made for, those with an empty list included."""
+    rows = spark.read.parquet(path)
+    return rows.where("rank is not null"), rows.select("qid").distinct()
 
 
 def write_eval_split(gt: DataFrame, cells: DataFrame, stats: DataFrame, path: str) -> None:

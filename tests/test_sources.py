@@ -137,9 +137,11 @@ def test_sinks(spark, tmp_path):
     cands = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "qid long, rank int, id string")
     io.save_candidates(cands, queries, f"{root}/cands")
     assert spark.read.parquet(f"{root}/cands").count() == 2
-    for bad in (cands.where("qid = 1"), cands.unionByName(spark.createDataFrame([(3, 1, "c")], cands.schema))):
-        with pytest.raises(ValueError):
-            io.save_candidates(bad, queries, f"{root}/bad")
+    with pytest.raises(ValueError):
+        io.save_candidates(cands.unionByName(spark.createDataFrame([(3, 1, "c")], cands.schema)), queries, f"{root}/bad")
+    io.save_candidates(cands.where("qid = 1"), queries, f"{root}/cands")
+    back, asked = io.read_candidates(spark, f"{root}/cands")
+    assert [tuple(r) for r in back.collect()] == [(1, 1, "a")] and sorted(r.qid for r in asked.collect()) == [1, 2]
     io.write_eval_split(cands, cands, queries.agg(F.count("*").alias("n")), f"{root}/split")
     assert spark.read.csv(f"{root}/split/gt.csv").count() == 2 and spark.read.json(f"{root}/split/prep_stats.json").first().n == 2
     for value in (0.12344, 0.98766):
@@ -197,7 +199,7 @@ def test_random_negatives(spark):
 
 def test_column_neighbours(spark):
     cells = spark.createDataFrame([("t", -1, 0, "h"), ("t", 0, 0, "a"), ("t", 1, 0, "b"), ("t", -1, 1, "g")], "table_id string, row int, col int, text string")
-    got = sorted((r.row, r.col, r.n_row, r.n_text) for r in M.column_neighbours(cells.where("text in ('a', 'g')"), cells).collect())
+    got = sorted((r.row, r.col, r.n_row, r.n_text) for r in M.column_neighbours(cells.where("text in ('a', 'g')"), M.column_store(cells)).collect())
     assert got == [(-1, 1, -1, "g"), (0, 0, 0, "a"), (0, 0, 1, "b")]
 
 
