@@ -1,3 +1,3 @@
 """Compositions and the registered queries."""
 
-from . import alignment_queries, analysis_queries, queries  # noqa: F401
+from . import alignment_queries, analysis_queries, file_queries, queries  # noqa: F401

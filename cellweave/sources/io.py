@@ -5,6 +5,8 @@ Files are found and read by Spark alone, so paths may be in any store that it re
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -24,6 +26,20 @@ WIKITABLES = T.StructType().add("_id", T.StringType()).add("pgId", T.LongType())
 CHUNK = 10_000
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the one that the driver and all executors share, the session's checkpoint folder.
+
+    Only in local mode, where the session names none, a temporary folder takes its place.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="spark-cellweave-")
+        spark.sparkContext.setCheckpointDir(where)
+    return f"{where.rstrip('/')}/cellweave/{name}-{uuid.uuid4().hex}"
+
+
 def _existing(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     """The paths of a list, or of a comma-separated text, that exist in their file system."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
