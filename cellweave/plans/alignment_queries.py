@@ -12,7 +12,7 @@ from ..operators import retrieval as R
 from ..operators import sampling as S
 from ..sources import io
 from . import wikitables
-from .queries import _BM25_SQL, _KNN_SQL, _linked_turns, _part_kb, _query, _t, _vectors
+from .queries import bm25_sql, _KNN_SQL, _linked_turns, _part_kb, _query, _t, _vectors
 
 
 def _named(v):
@@ -90,7 +90,7 @@ def entity_masks(spark, d):
     return M.entity_mask(cells, M.labelled_cells(graphs), ["table_id", "cell"])
 
 
-@_query(_BM25_SQL.replace("(SELECT DISTINCT id AS qid, unnest(regexp_extract_all(lower(regexp_replace(name, ' \\S+$', '')), '[\\p{L}\\p{N}_]+')) AS token\n      FROM kb WHERE id % 20 = 0 AND id IN (SELECT l_partkey FROM lineitem))", "(SELECT DISTINCT p_type AS qid, unnest(regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}_]+')) AS token FROM part WHERE p_size / 50.0 >= 0.5)")
+@_query(bm25_sql("SELECT DISTINCT p_type AS qid, unnest(regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}_]+')) AS token FROM part WHERE p_size / 50.0 >= 0.5")
         + "SELECT p_partkey, p_brand AS brand, coalesce(CASE WHEN p_size / 50.0 >= 0.5 THEN cast(r.id AS varchar) END, p_type) AS type FROM part LEFT JOIN r ON r.qid = p_type AND r.rank = 1")
 def normalized_cells(spark, d):
     """Cells of a likely entity are looked up by BM25 and replaced by the id of the best part; the others stay."""
@@ -194,6 +194,18 @@ def scalars(spark, d):
     return out.distinct()
 
 
+@_query("""WITH v AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings),
+x AS (SELECT vec_id, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM v),
+s AS (SELECT vec_id, sqrt(sum(x * x)) AS n, max(x) AS m FROM x GROUP BY vec_id),
+t AS (SELECT vec_id, sum(exp(x - m)) AS z FROM x JOIN s USING (vec_id) GROUP BY vec_id)
+SELECT vec_id, round(sum(i * x / n), 6) AS normalized, round(sum(i * exp(x - m) / z), 6) AS softmax FROM x JOIN s USING (vec_id) JOIN t USING (vec_id) GROUP BY vec_id""")
+def vector_scalars(spark, d):
+    """P21, P23 on the vectors: sums of what normalising and softmax give at each place, weighted by the place."""
+    v = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    weighted = lambda x: F.aggregate(F.transform(x, lambda y, i: y * (i + 1)), F.lit(0.0), lambda s, y: s + y)
+    return v.select("vec_id", F.round(weighted(V.l2_normalize("v")), 6).alias("normalized"), F.round(weighted(V.softmax("v")), 6).alias("softmax"))
+
+
 @_query("""SELECT 'cust:' || c_custkey AS id, c_name AS name, 'customer' AS type FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'a' || replace(n_name, ' ', '_'), replace(n_name, '_', ' '), 'nation' FROM nation""")
 def entity_tables(spark, d):
     """Entities of the id and name columns of two tables; rows with a blank name are dropped."""

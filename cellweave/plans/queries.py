@@ -48,20 +48,26 @@ def _mentions(spark, d):
     return named.select(F.col("id").alias("qid"), F.regexp_replace("name", r" \S+$", "").alias("text"))
 
 
-_BM25_SQL = """
+def bm25_sql(asked: str) -> str:
+    """The head of a statement: ranks r(qid, rank, id, score) of parts for the words q(qid, token) that the query `asked` gives."""
+    return f"""
 WITH kb AS (SELECT p_partkey AS id, concat_ws(' ', p_name, replace(p_brand, '#', ''), p_type, cast(p_size AS varchar)) AS name FROM part),
-tok AS (SELECT id, regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+') AS t FROM kb),
+tok AS (SELECT id, regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}_]+') AS t FROM kb),
 size AS (SELECT count(*) AS n, avg(len(t)) AS al FROM tok),
 tf AS (SELECT id, token, count(*) AS tf, any_value(l) AS l FROM (SELECT id, len(t) AS l, unnest(t) AS token FROM tok) GROUP BY id, token),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-q AS (SELECT DISTINCT id AS qid, unnest(regexp_extract_all(lower(regexp_replace(name, ' \\S+$', '')), '[\\p{L}\\p{N}_]+')) AS token
-      FROM kb WHERE id % 20 = 0 AND id IN (SELECT l_partkey FROM lineitem)),
+q AS ({asked}),
 s AS (SELECT qid, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / al))), 6) AS score
       FROM q JOIN tf USING (token) JOIN df USING (token), size GROUP BY qid, id),
 r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, id, score FROM s)
 """
 
 
+#: The words of the mentions.
+_BM25_SQL = bm25_sql("""SELECT DISTINCT id AS qid, unnest(regexp_extract_all(lower(regexp_replace(name, ' \\S+$', '')), '[\\p{L}\\p{N}_]+')) AS token
+      FROM kb WHERE id % 20 = 0 AND id IN (SELECT l_partkey FROM lineitem)""")
+
+
 @_query(_BM25_SQL + "SELECT qid, rank, id, score FROM r WHERE rank <= 10")
 def bm25_topk(spark, d):
     """The ten best parts of each mention."""

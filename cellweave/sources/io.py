@@ -5,12 +5,11 @@ Files are found and read by Spark alone, so paths may be in any store that it re
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -240,28 +239,37 @@ def _names(spark: SparkSession, glob: str) -> list[str]:
 def convert_chunks(spark: SparkSession, source: str, target: str) -> tuple[list[str], list[str]]:
     """CSV files below source that target doesn't hold yet, as Parquet below target by file name.
 
-    Returns the names that were converted and those that could not be read, which don't stop the others.
-    A file without a row counts as converted once it is read, and is read again next time.
+    Returns the names that were converted and those that were not, which don't stop the others: files
+    without a header line of names that differ and are text, and files with a row that has more or
+    fewer fields than the header. One pass reads the headers, one for each different header judges all
+    its files together, and one writes the good ones. A file without a row counts as converted once
+    it is read, and is read again next time.
     """
     done = {n.removeprefix("file=") for n in _names(spark, f"{target}/file=*")}
     todo = sorted(n for n in _names(spark, f"{source}/*.csv") if n.removesuffix(".csv") not in done)
-
-    def convert(names: list[str]) -> tuple[list[str], list[str]]:
-        """All in one job; if that fails, each half by itself, down to the files that can't be read."""
-        if not names:
-            return [], []
-        try:
-            df = spark.read.option("header", True).option("enforceSchema", False).csv([f"{source}/{n}" for n in names])
-            file = F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1)
-            df.withColumn("file", file).write.mode("append").partitionBy("file").parquet(target)
-            return names, []
-        except (PySparkException, Py4JJavaError):
-            if len(names) == 1:
-                return [], names
-            halves = [convert(part) for part in (names[: len(names) // 2], names[len(names) // 2 :])]
-            return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
-
-    return convert(todo)
+    if not todo:
+        return [], []
+    lines = spark.read.option("ignoreCorruptFiles", True).text([f"{source}/{n}" for n in todo])
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))  # the column has it as in a URL
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    heads = lines.select(name.alias("file"), "value", place.alias("at")).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    alike: dict[tuple, list[str]] = {}
+    for file, header in heads.collect():  # one row for each file
+        names = tuple(n.strip() for n in next(csv.reader([header.lstrip("\ufeff")]), []))
+        if names and all(names) and len({n.lower() for n in names}) == len(names) and not set("\0\ufffd") & set(header):
+            alike.setdefault(names, []).append(file)
+    converted = []
+    for names, files in sorted(alike.items()):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "_bad")])
+        read = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", "_bad").option("columnPruning", False)
+        rows = read.csv([f"{source}/{n}" for n in files]).select(name.alias("file"), "*")
+        ragged = {r.file for r in rows.groupBy("file").agg(F.count("_bad").alias("bad"), F.count(F.col(f"`{names[0]}`"))).where("bad > 0").collect()}
+        good = [n for n in files if n not in ragged]
+        if good:
+            own = read.csv([f"{source}/{n}" for n in good]).withColumn("file", F.regexp_extract(name, r"^(.*)\.csv$", 1))
+            own.drop("_bad").write.mode("append").partitionBy("file").parquet(target)
+        converted += good
+    return sorted(converted), sorted(set(todo) - set(converted))
 
 
 def split_rows(df: DataFrame, path: str, n: int = CHUNK) -> None:

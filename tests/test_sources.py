@@ -82,13 +82,21 @@ def test_converted_chunks(spark, tmp_path):
     source, target = tmp_path / "csv", str(tmp_path / "parquet")
     source.mkdir()
     for i in range(3):
-        (source / f"part_{i}.csv").write_text(f"title,brand\nt{i},b\n")
+        (source / f"part_{i}.csv").write_text(f'title,brand\n"t{i}, quoted",b\n')
     (source / "other.csv").write_text("title\nx\n")
-    done, failed = io.convert_chunks(spark, str(source), target)
-    assert sorted(done) == ["other.csv", "part_0.csv", "part_1.csv", "part_2.csv"] or failed == ["other.csv"]
+    (source / "short.csv").write_text("title,brand\na,b\nonly one\n")
+    (source / "long.csv").write_text("title,brand\na,b,c\n")
+    (source / "binary.csv").write_bytes(bytes(range(128, 256)) * 40)
+    (source / "nothing.csv").write_text("")
+    (source / "twice.csv").write_text("title,Title\na,b\n")
+    (source / "header only.csv").write_text("title,brand\n")
+    good, bad = ["header only.csv", "other.csv", "part_0.csv", "part_1.csv", "part_2.csv"], ["binary.csv", "long.csv", "nothing.csv", "short.csv", "twice.csv"]
+    assert io.convert_chunks(spark, str(source), target) == (good, bad)
+    assert sorted(r.title for r in spark.read.parquet(target).collect()) == ["t0, quoted", "t1, quoted", "t2, quoted", "x"]
     (source / "part_9.csv").write_text("title,brand\nt9,b\n")
-    assert "part_9.csv" in io.convert_chunks(spark, str(source), target)[0]
-    assert sorted(r.title for r in spark.read.parquet(target).where("file like 'part%'").collect()) == ["t0", "t1", "t2", "t9"]
+    assert io.convert_chunks(spark, str(source), target) == (["header only.csv", "part_9.csv"], bad)
+    assert sorted(r.title for r in spark.read.parquet(target).where("file like 'part%'").collect()) == ["t0, quoted", "t1, quoted", "t2, quoted", "t9"]
+    assert io.convert_chunks(spark, str(tmp_path / "none"), target) == ([], [])
 
 
 def test_wikitables(spark, tmp_path):
