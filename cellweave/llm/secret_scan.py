@@ -47,8 +47,7 @@ HUMP = r"(?:[A-Z][a-z]{2,}|To|By|Of|In|Id|On|As|At)"
 WORD = rf"(?:[a-z]+|[A-Z]+|[a-z]*(?:[A-Z][a-z]+)+|[a-z]*{HUMP}*(?:[A-Z]{{2,5}}{HUMP}*){{1,2}})"
 #: A whole run of letters and digits; atomic, as there is one way only to cut a candidate into them.
 PART = rf"(?>(?:{WORD}[0-9]{{0,4}}|[0-9]{{1,4}})(?![A-Za-z0-9]))"
-#: What never is a secret: words, identifiers and paths made of words and short numbers, UUIDs,
-#: documented sample values. So many consonants in a row as in the first entry are no word;
+#: What never is a secret: words, identifiers and paths made of words and short numbers, UUIDs. So many consonants in a row as in the first entry are no word;
 #: German compounds have up to seven.
 ALLOW = tuple(
     re.compile(p)
@@ -56,9 +55,11 @@ ALLOW = tuple(
         rf"(?!.*(?:[bcdfghjklmnpqrstvwxz]{{8}}|[BCDFGHJKLMNPQRSTVWXZ]{{6}}))[_/+-]*+{PART}(?:[_/+-]++{PART})*[_/+-]*=*",
         r"[_/+-]+=*",
         r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-        r".*(?:EXAMPLE|example|XXXX|xxxx|0123456789|abcdefgh).*",
     )
 )
+#: What marks a sample value, and what joins a candidate's parts. A sample silences the whole candidate
+#: but for parts without such a mark that are long enough to be a key by themselves.
+SAMPLE, JOINT, LEAST = re.compile("EXAMPLE|example|XXXX|xxxx|0123456789|abcdefgh"), re.compile("[_/+-]"), 20
 
 
 def window_entropy(s: str, width: int) -> float:
@@ -90,6 +91,8 @@ def suspicious(s: str) -> bool:
     if any(p.fullmatch(s) for p in ALLOW):
         return False
     body = s.rstrip("=")
+    if SAMPLE.search(s):
+        return any(len(p) >= LEAST and not SAMPLE.search(p) and suspicious(p) for p in JOINT.split(body))
     _, _, width, least = next(x for x in CLASSES if x[1].fullmatch(body))
     return window_entropy(body, width) >= least[max(0, min(len(body), 19 + len(least)) - 20)]
 
