@@ -1,5 +1,6 @@
 """Texts written to make word hashes collide, and items and documents of one repeated word or line."""
 
+import re
 import resource
 import time
 from collections import defaultdict
@@ -10,7 +11,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from cellweave.llm import decontaminate, kernels, minhash, token_counts  # noqa: E402
+from cellweave.llm import decontaminate, kernels, minhash, queries, token_counts  # noqa: E402
 
 
 def colliding(family, n=4):
@@ -107,3 +108,59 @@ def test_texts_of_megabytes(spark, n):
     assert token_counts.count_tokens(rows.where("doc_id = 1"), path).first().n_tokens == want
     items = spark.createDataFrame([(1, " ".join(text.split()[50_000:50_040]))], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.leaks(rows, items).collect()) == [1, 2]
+
+
+def tiles_by_definition(a, b, least):
+    """Lengths of greedy tiles of two word lists, from all their matches."""
+    at = defaultdict(list)
+    for j in range(len(b) - least + 1):
+        at[tuple(b[j : j + least])].append(j)
+    starts = [(i, j) for i in range(len(a) - least + 1) for j in at.get(tuple(a[i : i + least]), ())]
+    ma, mb, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i, j in starts:
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not ma[i + n] and not mb[j + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        out.append(n)
+        ma[i : i + n] = mb[j : j + n] = [True] * n
+
+
+def test_op6_query_both_ways(spark):
+    """Every leak and no other, with its figures."""
+    root = "/root/testdata/sf0.001"
+    words = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{root}/benchmark.parquet").collect()}
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()}
+    holders = defaultdict(set)
+    for d, w in docs.items():
+        for i in range(len(w)):
+            holders[tuple(w[i : i + 5])].add(d)
+            if i + 5 > len(w):
+                break
+    want = {}
+    for k, own in items.items():
+        if len(own) < 5:
+            continue
+        for d in {d for i in range(len(own) - 4) for d in holders.get(tuple(own[i : i + 5]), ())}:
+            tiles = tiles_by_definition(own, docs[d], 5)
+            if sum(tiles) >= 0.5 * len(own):
+                want[d, k] = (len(own), len(tiles), max(tiles), sum(tiles))
+    got = {(r.doc_id, r.item_id): (r.item_words, r.tiles, r.longest, r.covered) for r in queries.QUERIES["op6_decontamination"](spark, root).collect()}
+    assert want and got == want
+
+
+def test_op3_query_on_a_larger_table(spark):
+    root = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{root}/labels.parquet").collect() if r.quality is not None}
+    rows = [r for r in queries.QUERIES["op3_quality"](spark, root).collect() if r.held_out and r.doc_id in labels]
+    good, bad = ([r.score for r in rows if labels[r.doc_id] == v] for v in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    above = np.mean([[x > y for y in bad] for x in good])
+    assert above > 0.9
