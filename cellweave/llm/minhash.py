@@ -152,7 +152,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _item_sets(ids: DataFrame, docs: DataFrame, k: int, key: bytes) -> DataFrame:
-    """(id, items): the full shingle sets of the documents with these distinct ids."""
+    """(id, items): the full shingle sets of the documents with these distinct ids, a table."""
     ids = materialize(ids, "near-candidate-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -162,7 +162,9 @@ def _item_sets(ids: DataFrame, docs: DataFrame, k: int, key: bytes) -> DataFrame
             values = [s.view(np.int64) for s in _sets(encoded(batch.column(1)), k, CONFIRM, key)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "items"])
 
-    return materialize(texts.mapInArrow(sets, "id long, items array<long>"), "near-sets")
+    out = materialize(texts.mapInArrow(sets, "id long, items array<long>"), "near-sets")
+    discard(ids)
+    return out
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -230,7 +232,7 @@ def _forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: bytes) -> DataFrame:
-    """Of the pairs (a, b), those whose full shingle sets reach the threshold."""
+    """Of the pairs (a, b), those whose full shingle sets reach the threshold, a table."""
     pairs = materialize(pairs.distinct(), "near-candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     items = _item_sets(ids, docs, k, key)
@@ -247,7 +249,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: byte
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     both = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    out = materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near-links")
+    discard(pairs, items)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -268,23 +272,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     every = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = every.where("id is not null")
     sketched = materialize(_sketches(every, shingle, key), "near-sketches")
-    nameless = sketched.where("id is null").select("id", "n")
-    sketched = sketched.where("id is not null")
+    sizes_of = materialize(sketched.select("id", "n"), "near-sizes")
+    all_sketches, sketched = sketched, sketched.where("id is not null")
     classes = materialize(sketched.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "near-classes")
-    same = sketched.where("set_id is not null").select("set_id", "id").join(classes.where("copies > 1").select("set_id", "rep"), "set_id").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    same = materialize(sketched.where("set_id is not null").select("set_id", "id").join(classes.where("copies > 1").select("set_id", "rep"), "set_id").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "near-same")
     # the representative's own row; one of them if the row repeats
     reps = sketched.join(classes.select("set_id", F.col("rep").alias("id")), ["set_id", "id"], "left_semi").dropDuplicates(["set_id"])
     reps = materialize(reps.select("id", "n", "bands", "sketch"), "near-reps")
+    # what nothing reads any more goes at once; only sizes and components are left in the end
+    discard(all_sketches, classes)
     texts = rows
 
     bare = reps.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = bare.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     # what a bucket's members are joined with is a table first, so that Spark may split the rows of a large bucket
-    members = materialize(bare.join(materialize(sizes, "near-buckets"), ["band", "key"]), "near-members")
+    buckets = materialize(sizes, "near-buckets")
+    members = materialize(bare.join(buckets, ["band", "key"]), "near-members")
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     centres = members.join(degree, "id").groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"))).alias("centre")).select("band", "key", (-F.col("centre.low")).alias("centre"))
-    centred = materialize(members.select("id", "band", "key").join(materialize(centres, "near-centres"), ["band", "key"]), "near-centred")
-    discard(members)
+    centres = materialize(centres, "near-centres")
+    centred = materialize(members.select("id", "band", "key").join(centres, ["band", "key"]), "near-centred")
+    discard(buckets, members, centres)
     members = centred
     sketch = reps.select("id", "n", "sketch")
 
@@ -294,22 +302,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pairs.join(a, "a").join(b, "b")
 
     star = members.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    links = materialize(_verified(_likely(with_sketches(star), percent), texts, shingle, percent, key), "near-links")
+    links = _verified(_likely(with_sketches(star), percent), texts, shingle, percent, key)
 
     # what the stars left apart
     groups = connected_components(links, name="near-star-components")
     apart = members.join(groups, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
     mixed = apart.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    rest = materialize(apart.join(materialize(mixed.select("band", "key"), "near-mixed"), ["band", "key"]).join(sketch, "id"), "near-rest")
+    mixed = materialize(mixed.select("band", "key"), "near-mixed")
+    rest = materialize(apart.join(mixed, ["band", "key"]).join(sketch, "id"), "near-rest")
+    discard(mixed, members, reps)
     paired = _blocks(rest).groupBy("bin").applyInPandas(lambda pdf: _with_likely_partner(pdf, percent), "band int, key long, id long")
     paired = materialize(paired.distinct(), "near-paired")
+    blocks = rest
     items = _item_sets(paired.select("id").distinct(), texts, shingle, key)
     rest = paired.join(rest.select("band", "key", "id", "component"), ["band", "key", "id"]).join(items, "id")
     more = _blocks(rest).groupBy("bin").applyInPandas(lambda pdf: _forest(pdf, percent), "a long, b long")
 
     found = connected_components(links.unionByName(more).unionByName(same), name="near-components")
-    out = sketched.select("id", "n").join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    out = out.unionByName(nameless.withColumn("component", F.lit(None).cast("long")))
+    discard(links, same, blocks, paired, items)
+    out = sizes_of.where("id is not null").join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    out = out.unionByName(sizes_of.where("id is null").withColumn("component", F.lit(None).cast("long")))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
