@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, l2_normalize
-from .retrieval import _unit, _whole, kmeans, nearest, rank_candidates
+from .retrieval import _unit, _whole, kmeans, knn_topk, nearest, rank_candidates
 
 #: Vectors that centres and code words are fitted on at most, code words of a piece, numbers in a piece, rows of a list's part.
 TRAINING, WORDS, PIECE, PART_ROWS = 65_536, 256, 4, 65_536
+#: Vectors that a search is tuned on, at most.
+TUNING = 256
 
 
 @dataclass(frozen=True)
@@ -174,3 +176,36 @@ def search(queries: DataFrame, index: DataFrame, quantiser: Quantiser, k: int, p
     exact = short.join(queries.select("qid", F.col(vector).alias("_q")), "qid").join(index.select("id", F.col("vector").alias("_v")), "id")
     scored = exact.select("qid", "id", F.round(cosine("_q", "_v"), 9).alias("score"))
     return rank_candidates(scored, k=k).select("qid", "rank", "id", "score")
+
+
+def tune(index: DataFrame, quantiser: Quantiser, k: int, most: int, recall: float = 0.95) -> tuple[int, int]:
+    """(probes, shortlist) with which a search in index rows finds this share of the k nearest others, measured on at most TUNING of its vectors.
+
+    The vectors are the first by a hash of the id; their exact neighbours are found among all rows. Probes are
+    the lists in which so many of these lie, and the short list is doubled, from 10 k up to `most`, until so many are found.
+    """
+    hashed = index.select("id", "vector").withColumn("h", F.xxhash64("id", F.lit("tune")))
+    last = hashed.select("h").orderBy("h").limit(TUNING).agg(F.max("h")).first()[0]
+    n = len(quantiser.centres)
+    shortlist = max(1, min(10 * k, most))
+    if last is None:
+        return n, shortlist
+    x = {r.id: r.vector for r in hashed.where(F.col("h") <= F.lit(last)).limit(TUNING).collect()}
+    asked = index.sparkSession.createDataFrame(list(x.items()), index.select(F.col("id").alias("qid"), "vector").schema)
+    near = knn_topk(asked, index, k + 1).where("qid != id").select("qid", "id", "rank").join(index.select("id", "list"), "id").collect()
+    exact = {}
+    for r in sorted(near, key=lambda r: r["rank"]):
+        exact.setdefault(r.qid, []).append((r.id, r["list"]))
+    exact = {q: own[:k] for q, own in exact.items()}
+    if not exact:
+        return n, shortlist
+    order = quantiser.lists(_unit(np.array([x[q] for q in exact])), n)
+    need = sorted(int(np.flatnonzero(near_lists == at)[0]) for near_lists, own in zip(order, exact.values()) for _, at in own)
+    wanted = math.ceil((1 + recall) / 2 * len(need))  # half of what may be missed is left to the short list
+    probes = need[wanted - 1] + 1
+    pairs = {(q, i) for q, own in exact.items() for i, _ in own}
+    while True:
+        found = {(r.qid, r.id) for r in search(asked, index, quantiser, k + 1, probes, shortlist).select("qid", "id").collect()}
+        if shortlist >= most or len(pairs & found) >= recall * len(pairs):
+            return probes, shortlist
+        shortlist = min(2 * shortlist, most)

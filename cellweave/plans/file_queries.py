@@ -180,8 +180,9 @@ def index_search(spark, d):
     I.write(rows.where("id % 3 > 0"), path)
     I.append(rows.where("id % 3 = 0"), path)
     total, asked = v.count(), q.count()
-    shortlist = min(100, total // 10)
-    near = I.search(q, I.read(spark, path, total), quantiser, 10, shortlist=shortlist)
+    stored = I.read(spark, path, total)
+    probes, shortlist = I.tune(stored, quantiser, 10, total // 10)
+    near = I.search(q, stored, quantiser, 10, probes, shortlist)
     exact = R.knn_topk(q, v, 10).select("qid", "id")
     hits = exact.join(near.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
     return hits.agg(F.count("*").alias("n"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"), F.lit(10 * shortlist * asked <= total * asked).alias("work_kept"))
