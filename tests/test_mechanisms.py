@@ -117,3 +117,16 @@ def test_a_column_of_many_cells(spark):
     view = M.column_neighbours(mentions, store)
     assert view.count() == 200_000
     assert view.where("row = 5 and n_row = 99999").first().n_text == "c99999"
+
+
+def test_encoder_gets_few_texts_at_a_time(spark, tmp_path):
+    def encoder(texts):
+        if len(texts) > retrieval.EMBED_ROWS:
+            raise ValueError(f"{len(texts)} texts at once")
+        return retrieval.hashed_grams(16)(texts)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id") % 2000).alias("text"))
+    got = {r.id: r.vector for r in retrieval.embed_stored(df, "text", str(tmp_path / "few"), encoder).collect()}
+    assert len(got) == 3000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert np.allclose(got[2999], retrieval.hashed_grams(16)(["text 999"])[0])
