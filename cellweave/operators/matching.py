@@ -157,6 +157,8 @@ def row_neighbours(cells: DataFrame, keys: Sequence[str], pos: str = "col", text
 
 #: Rows of a table in one part of a stored column.
 COLUMN_PART = 4096
+#: Mentions of a column that are expanded in one task, on average, where it has more.
+MENTIONS_PART = 4096
 
 
 def column_store(cells: DataFrame) -> DataFrame:
@@ -171,8 +173,18 @@ def column_store(cells: DataFrame) -> DataFrame:
 
 def column_neighbours(mentions: DataFrame, store: DataFrame) -> DataFrame:
     """(table_id, row, col, n_row, n_text): a view of column_store that expands, for each of mentions(table_id, row, col, text),
-    the data cells of its column, itself included if it is one; itself alone if there are none (J12)."""
-    joined = mentions.join(store, ["table_id", "col"], "left").select("table_id", "row", "col", "text", F.explode_outer("cells").alias("n"))
+    the data cells of its column, itself included if it is one; itself alone if there are none (J12).
+
+    What comes out is many times what goes in, so columns are dealt to all shuffle partitions, whatever
+    the size of the input, and a column of more than MENTIONS_PART mentions to several.
+    """
+    column, one = ["table_id", "col"], F.lit(1).cast("long")
+    large = mentions.groupBy(*column).agg(F.count("*").alias("_n")).where(F.col("_n") > MENTIONS_PART)
+    large = F.broadcast(large.select(*column, F.ceil(F.col("_n") / MENTIONS_PART).alias("_k")))
+    dealt = mentions.join(large, column, "left").withColumn("_d", F.pmod(F.xxhash64("row"), F.coalesce("_k", one))).drop("_k")
+    copied = store.join(large, column, "left").withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_k", one) - 1))).drop("_k")
+    n, key = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*column, "_d"]
+    joined = dealt.repartition(n, *key).join(copied.repartition(n, *key), key, "left").select("table_id", "row", "col", "text", F.explode_outer("cells").alias("n"))
     alone = F.col("n").isNull()
     return joined.select("table_id", "row", "col", F.coalesce("n.row", "row").alias("n_row"), F.when(alone, F.col("text")).otherwise(F.col("n.text")).alias("n_text"))
 

@@ -130,3 +130,13 @@ def test_encoder_gets_few_texts_at_a_time(spark, tmp_path):
     got = {r.id: r.vector for r in retrieval.embed_stored(df, "text", str(tmp_path / "few"), encoder).collect()}
     assert len(got) == 3000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     assert np.allclose(got[2999], retrieval.hashed_grams(16)(["text 999"])[0])
+
+
+def test_columns_are_expanded_in_all_tasks(spark, monkeypatch):
+    """A small input that expands to many rows is spread over all shuffle partitions, and so is one large column."""
+    monkeypatch.setattr(M, "MENTIONS_PART", 20)
+    cells = spark.createDataFrame([("t", i, 0, f"c{i}") for i in range(200)] + [("u", -1, 1, "head"), (None, 3, 0, "none")], "table_id string, row int, col int, text string")
+    view = M.column_neighbours(cells, M.column_store(cells)).withColumn("p", F.spark_partition_id()).collect()
+    assert len({r.p for r in view}) > 1
+    want = {("t", i, 0, j, f"c{j}") for i in range(200) for j in range(200)} | {("u", -1, 1, -1, "head"), (None, 3, 0, 3, "none")}
+    assert len(view) == len(want) and {(r.table_id, r.row, r.col, r.n_row, r.n_text) for r in view} == want
