@@ -8,7 +8,7 @@ import pytest
 from cellweave.operators import retrieval
 from cellweave.plans.queries import QUERIES
 
-SEARCHES = ["candidate_pool", "candidate_hits"]
+SEARCHES = ["candidate_pool", "candidate_hits", "context_vectors"]
 
 
 def shuffled(spark, run):
