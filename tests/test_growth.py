@@ -8,7 +8,7 @@ import pytest
 from cellweave.operators import retrieval
 from cellweave.plans.queries import QUERIES
 
-SEARCHES = ["candidate_pool", "candidate_hits", "context_vectors", "knn_label_eval", "knn_topk", "diagnosis"]
+SEARCHES = ["candidate_pool", "candidate_hits", "context_vectors", "knn_label_eval", "knn_topk", "diagnosis", "hard_negatives"]
 
 
 def shuffled(spark, run):
