@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.plans import queries as P
 from cellweave.sources import io
@@ -48,3 +49,9 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in io.read_wt_gt(spark, str(tmp_path / "wt.csv")).collect()] == [("a__b", 3, 1, 0, "New York, city")]
     io.append_results(spark.range(1).selectExpr("0.12345 as accuracy"), "m", str(tmp_path / "results"))
     assert spark.read.parquet(str(tmp_path / "results")).first().accuracy in ("0.1234", "0.1235")
+
+
+def test_every_vector_is_asked(spark, db):
+    """knn_topk ranks ten rows for each vector."""
+    asked = {r.qid: r["n"] for r in P.QUERIES["knn_topk"](spark, SF).groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert asked == {i: 10 for (i,) in db.sql("SELECT vec_id FROM embeddings").fetchall()}
