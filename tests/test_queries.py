@@ -55,3 +55,8 @@ def test_every_vector_is_asked(spark, db):
     """knn_topk ranks ten rows for each vector."""
     asked = {r.qid: r["n"] for r in P.QUERIES["knn_topk"](spark, SF).groupBy("qid").agg(F.count("*").alias("n")).collect()}
     assert asked == {i: 10 for (i,) in db.sql("SELECT vec_id FROM embeddings").fetchall()}
+
+
+def test_every_vector_is_evaluated(spark, db):
+    """knn_label_eval counts each vector once."""
+    assert P.QUERIES["knn_label_eval"](spark, SF).first().n == db.sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
