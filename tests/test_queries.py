@@ -60,3 +60,9 @@ def test_every_vector_is_asked(spark, db):
 def test_every_vector_is_evaluated(spark, db):
     """knn_label_eval counts each vector once."""
     assert P.QUERIES["knn_label_eval"](spark, SF).first().n == db.sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
+
+
+def test_every_mention_is_asked(spark, db):
+    """bm25_topk ranks ten parts for each part that lineitem names."""
+    asked = {r.qid: r["n"] for r in P.QUERIES["bm25_topk"](spark, SF).groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert asked == {i: 10 for (i,) in db.sql("SELECT DISTINCT p_partkey FROM part JOIN lineitem ON l_partkey = p_partkey").fetchall()}
