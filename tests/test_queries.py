@@ -66,3 +66,8 @@ def test_every_mention_is_asked(spark, db):
     """bm25_topk ranks ten parts for each part that lineitem names."""
     asked = {r.qid: r["n"] for r in P.QUERIES["bm25_topk"](spark, SF).groupBy("qid").agg(F.count("*").alias("n")).collect()}
     assert asked == {i: 10 for (i,) in db.sql("SELECT DISTINCT p_partkey FROM part JOIN lineitem ON l_partkey = p_partkey").fetchall()}
+
+
+def test_every_mention_is_evaluated(spark, db):
+    """bm25_eval counts each part that lineitem names."""
+    assert P.QUERIES["bm25_eval"](spark, SF).first().n == db.sql("SELECT count(DISTINCT p_partkey) FROM part JOIN lineitem ON l_partkey = p_partkey").fetchall()[0][0]
